@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,19 +46,42 @@ def query(function):
 # --- derived inputs -------------------------------------------------------------------------
 
 
+_PLANS: dict = {}
+
+
+def shared(function):
+    """Build the plan of a derived input once per session; the data is not kept."""
+
+    @wraps(function)
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, function.__name__, sf_dir)
+        if key not in _PLANS:
+            _PLANS[key] = function(spark, sf_dir)
+        return _PLANS[key]
+
+    return plan
+
+
+site_pages, site_sheets = shared(site_pages), shared(site_sheets)
+
+
+@shared
 def hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw pages with their own host as site."""
     return raw_pages(spark, sf_dir).withColumn("target_domain", U.host(F.col("url")))
 
 
+@shared
 def pages_with_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror.with_path(site_pages(spark, sf_dir))
 
 
+@shared
 def media_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.external_media(site_pages(spark, sf_dir), site_sheets(spark, sf_dir))
 
 
+@shared
 def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the media that 'arrived': two thirds of the media set."""
     arrived = media_set(spark, sf_dir).where(F.length("url") % 3 != 0)
@@ -66,10 +90,12 @@ def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.max(F.length("url") * 1000).cast("bigint").alias("length"))
 
 
+@shared
 def mapped_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.url_map(media_set(spark, sf_dir), media_files(spark, sf_dir))
 
 
+@shared
 def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved pages (one in ten is missing) and all stylesheets."""
     pages = pages_with_path(spark, sf_dir).where(F.col("page_id") % 10 != 7)
@@ -87,6 +113,7 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_pages(spark, sf_dir).groupBy("target_domain").agg(first)
 
 
+@shared
 def site_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl_edges(
         site_pages(spark, sf_dir), site_sheets(spark, sf_dir), PATTERNS, DOMAINS
@@ -101,6 +128,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_set(spark, sf_dir).withColumn("status", F.length("url") % 6)
 
 
+@shared
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct link value of a page with its resolved form."""
     tags = {**links.NAVIGATION, **links.RESOURCES}

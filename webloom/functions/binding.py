@@ -18,6 +18,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def let_sql(value: Column, body: str) -> Column:
+    """``let`` with a SQL body over the name ``v``; short to build for long expressions."""
+    bound = F.call_function("transform", F.array(value), F.expr(f"v -> {body}"))
+    return F.get(bound, F.lit(0))
+
+
+def sql_text(text: str) -> str:
+    """A Python string as a SQL literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def pin(df: DataFrame, **columns: Column) -> DataFrame:
     """Like ``withColumns``, but later steps see the result only."""
     kept = [c for c in df.columns if c not in columns]

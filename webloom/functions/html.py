@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions.binding import let
+from webloom.functions.binding import let, let_sql, sql_text
 
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
 _ATTRIBUTES = rf"(?:[\s/](?:[\s/]++|[^\s/>=]++|=\s*+{_VALUE})*+)?+"
@@ -84,11 +84,9 @@ def _attribute_pattern(name: str) -> str:
 
 def raw_attribute(tag: Column, name: str) -> Column:
     """Value of the first attribute of that name, still encoded; '' if absent."""
-    return let(
+    return let_sql(
         F.regexp_extract(tag, _attribute_pattern(name), 2),
-        lambda v: F.when(
-            v.startswith('"') | v.startswith("'"), F.substr(v, F.lit(2), F.length(v) - 2)
-        ).otherwise(v),
+        """CASE WHEN v LIKE '"%' OR v LIKE "'%" THEN substr(v, 2, length(v) - 2) ELSE v END""",
     )
 
 
@@ -119,37 +117,35 @@ def drop_attribute(tag: Column, name: str) -> Column:
 _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
-def _character(code: Column) -> Column:
-    """Character of a code point; one outside Unicode stays U+FFFD."""
-    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    safe = F.when(valid, code).otherwise(F.lit(0xFFFD))
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+def _character_sql(code: str) -> str:
+    """Character of a code point; U+FFFD for one outside Unicode."""
+    return f"""transform(array({code}), c -> decode(unhex(lpad(hex(
+        CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111 THEN c ELSE 65533 END
+        ), 8, '0')), 'UTF-32'))[0]"""
 
 
-def decode_entities(text: Column) -> Column:
-    """One pass over named and numeric character references; unknown names stay."""
-    named = F.create_map(
-        *[
-            F.lit(x)
-            for name, code in {**html.entities.name2codepoint, "apos": 39}.items()
-            for x in (name, chr(code))
-        ]
-    )
+def _decode_sql() -> str:
+    names = {**html.entities.name2codepoint, "apos": 39}
+    # One text literal that the optimizer folds to a map.
+    table = sql_text("\n".join(f"{name}\t{chr(code)}" for name, code in names.items()))
+    entity = sql_text(_ENTITY)
+    char = f"""CASE
+        WHEN r LIKE '#x%' OR r LIKE '#X%'
+          THEN {_character_sql("CAST(conv(substr(r, 3), 16, 10) AS BIGINT)")}
+        WHEN r LIKE '#%' THEN {_character_sql("CAST(substr(r, 2) AS BIGINT)")}
+        ELSE coalesce(element_at(str_to_map({table}, '\n', '\t'), r), concat('&', r, ';')) END"""
+    return f"""CASE WHEN contains(v, '&') THEN array_join(zip_with(
+        split(v, {entity}, -1),
+        transform(regexp_extract_all(v, {entity}, 1), r -> {char}),
+        (gap, char) -> concat(gap, coalesce(char, ''))), '') ELSE v END"""
 
-    def char(ref: Column) -> Column:
-        hexadecimal = F.conv(F.substr(ref, F.lit(3)), 16, 10).cast("long")
-        return (
-            F.when(ref.rlike("^#[xX]"), _character(hexadecimal))
-            .when(ref.startswith("#"), _character(F.substr(ref, F.lit(2)).cast("long")))
-            .otherwise(F.coalesce(F.element_at(named, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
-        )
 
-    def decoded(text: Column) -> Column:
-        refs = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
-        new = splice(F.split(text, _ENTITY, -1), F.transform(refs, char))
-        return F.when(text.contains("&"), new).otherwise(text)
+_DECODE = _decode_sql()
 
-    return let(text, decoded)
+
+def decode_entities(text: Column) -> Column:
+    """One pass over named and numeric character references; unknown names stay."""
+    return let_sql(text, _DECODE)
 
 
 def encode_entities(text: Column) -> Column:

@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from webloom.session import cut_lineage, shuffle_width
 
 DEFAULT_SALTS = 16
+SALT = "_salt"
+
+
+def salt_of(*spread_by: str, salts: int = DEFAULT_SALTS) -> Column:
+    """Number of the copy of the dictionary that a row uses."""
+    return F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+
+
+def salted_copies(dictionary: DataFrame, salts: int = DEFAULT_SALTS) -> DataFrame:
+    return dictionary.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
 def lookup(
@@ -27,11 +37,8 @@ def lookup(
     dictionary, far smaller than the references, is repeated once per salt.  Adaptive execution
     splits what is still too large.
     """
-    salted = left.withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    )
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    salted = left.withColumn(SALT, salt_of(*spread_by, salts=salts))
+    return salted.join(salted_copies(right, salts), [*on, SALT], how).drop(SALT)
 
 
 def running_total(

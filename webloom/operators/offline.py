@@ -6,7 +6,7 @@ into items, each is kept or dropped, and the rest is joined again.  Nothing is s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -84,31 +84,42 @@ _PASSES = (
 )
 
 
-def _rule_matches(item: Column, rule: RemovalRule) -> Column:
-    """The rule on an element of its tag."""
-    start = H.start_tag(item) if rule.attributes else None
-    tests = [H.attribute(start, name).rlike(p) for name, p in rule.attributes]
-    if rule.content:
-        tests.append(H.element_body(item, rule.tag).rlike(rule.content))
-    if rule.nested_img_src:
-        images = F.filter(H.items(H.element_body(item, rule.tag)), lambda i: H.tag_name(i) == "img")
-        tests.append(
-            F.exists(images, lambda i: H.attribute(i, "src").rlike(rule.nested_img_src))
-        )
-    return reduce(lambda a, b: a & b, tests)
+def _rules_match(item: Column, tag: str, rules: Sequence[RemovalRule]) -> list[Column]:
+    """The rules of a tag on one of its elements, each as a test."""
+    names = sorted({name for r in rules for name, _ in r.attributes})
+    start = H.start_tag(item) if names else None
+    values = {name: H.attribute(start, name) for name in names}
+    tests = []
+    for rule in rules:
+        parts = [values[name].rlike(p) for name, p in rule.attributes]
+        if rule.content:
+            parts.append(H.element_body(item, tag).rlike(rule.content))
+        if rule.nested_img_src:
+            images = F.filter(H.items(H.element_body(item, tag)), lambda i: H.tag_name(i) == "img")
+            sources = F.transform(images, lambda i: H.attribute(i, "src"))
+            parts.append(F.exists(sources, _found(rule.nested_img_src)))
+        tests.append(reduce(lambda a, b: a & b, parts))
+    return tests
+
+
+def _found(pattern: str) -> Callable[[Column], Column]:
+    return lambda text: text.rlike(pattern)
 
 
 def is_removable(item: Column, tags: Sequence[str], rules: Sequence[RemovalRule]) -> Column:
     verdict = F.lit(False)
     for tag in tags:
-        own = [_rule_matches(item, r) for r in rules if r.tag == tag]
+        own = [r for r in rules if r.tag == tag]
         if own:
-            verdict = F.when(H.tag_name(item) == tag, reduce(lambda a, b: a | b, own)).otherwise(
-                verdict
-            )
+            fits = reduce(lambda a, b: a | b, _rules_match(item, tag, own))
+            verdict = F.when(item.rlike(rf"(?i)^<{tag}[\s/>]"), fits).otherwise(verdict)
     return verdict
 
 
+def _kept_item(tags: Sequence[str], rules: Sequence[RemovalRule]) -> Callable[[Column], Column]:
+    return lambda item: F.when(is_removable(item, tags, rules), F.lit(None)).otherwise(item)
+
+
 def remove_elements(
     pages: DataFrame, out: str = "new_html", rules: Sequence[RemovalRule] = REMOVAL_RULES
 ) -> DataFrame:
@@ -121,8 +132,7 @@ def remove_elements(
         pages = pin(
             pages,
             _kept=F.transform(
-                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-                lambda i, tags=tags: F.when(is_removable(i, tags, rules), F.lit(None)).otherwise(i),
+                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _kept_item(tags, rules)
             ),
         )
         pages = pin(pages, _dropped=F.size(F.filter("_kept", lambda i: i.isNull())))
@@ -168,12 +178,20 @@ def removal_candidates(pages: DataFrame, keys: Sequence[str] = ("page_id",)) ->
             *keys,
             F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("pos", "element"),
         ).where(H.tag_name(F.col("element")).isin(*tags))
-        first = F.coalesce(
+        numbered = [(n, r) for n, r in enumerate(REMOVAL_RULES, 1) if r.tag in tags]
+        first = F.least(
             *[
-                F.when((H.tag_name(F.col("element")) == r.tag) & _rule_matches(F.col("element"), r), n)
-                for n, r in enumerate(REMOVAL_RULES, 1)
-                if r.tag in tags
-            ]
+                F.when((H.tag_name(F.col("element")) == tag) & test, n)
+                for tag in tags
+                for (n, _), test in zip(
+                    [x for x in numbered if x[1].tag == tag],
+                    _rules_match(
+                        F.col("element"), tag, [r for _, r in numbered if r.tag == tag]
+                    ),
+                    strict=True,
+                )
+            ],
+            F.lit(None).cast("int"),
         )
         parts.append(pin(found, rule_no=first).where("rule_no is not null"))
     return reduce(DataFrame.unionByName, parts)

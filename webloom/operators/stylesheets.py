@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from webloom.functions import html as H
 from webloom.functions import urls as U
 from webloom.functions.binding import pin
-from webloom.operators.joins import lookup
+from webloom.operators.joins import SALT, lookup, salt_of, salted_copies
 from webloom.operators.links import CSS_IMPORT
 from webloom.operators.media import MEDIA_FOLDER
 from webloom.operators.rewrite import RewriteStep, css_error, run_steps
-from webloom.session import cut_lineage
+from webloom.session import cut_lineage, shuffle_width
 
 MAX_IMPORT_DEPTH = 10
 
@@ -32,123 +32,125 @@ MAPPED_URL = r"""url\(\s*(["']?)(https?://[^\s"'?#>\)\\]+)(\?[^\s"'#>\)]+)?["']?
 SHEET = ["target_domain", "path"]
 
 
-def _pieces(css: Column, source_key: Column) -> Column:
-    """Alternating texts and imports of one sheet, numbered below ``source_key``."""
-    texts = F.split(css, CSS_IMPORT, -1)
-    imports = F.regexp_extract_all(css, F.lit(CSS_IMPORT), F.lit(1))
-    both = F.flatten(
-        F.zip_with(
-            texts,
-            imports,
-            lambda t, i: F.array(
-                F.struct(F.lit(False).alias("is_import"), t.alias("text")),
-                F.struct(F.lit(True).alias("is_import"), i.alias("text")),
-            ),
-        )
+def _comment(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _imports(css: Column) -> Column:
+    """Imports of a sheet with their places; the texts between them have the even places."""
+    return F.transform(
+        F.regexp_extract_all(css, F.lit(CSS_IMPORT), F.lit(1)),
+        lambda raw, i: F.struct((2 * i + 1).alias("place"), raw.alias("raw")),
     )
-    numbered = F.transform(
-        both,
-        lambda p, i: F.struct(
-            F.concat(source_key, F.array(i)).alias("order_key"),
-            p["is_import"].alias("is_import"),
-            p["text"].alias("text"),
+
+
+def _texts(css: Column, below: Column) -> Column:
+    """Texts between the imports of a sheet, numbered below a place."""
+    return F.filter(
+        F.transform(
+            F.split(css, CSS_IMPORT, -1),
+            lambda t, i: F.struct(F.concat(below, F.array(2 * i)).alias("order_key"), t.alias("text")),
         ),
+        lambda t: t["text"] != "",
     )
-    return F.filter(numbered, lambda p: p["text"].isNotNull() & (p["is_import"] | (p["text"] != "")))
 
 
-def _comment(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+def _open_imports(df: DataFrame, below: Column, stack: Column) -> DataFrame:
+    opened = F.transform(
+        "imports",
+        lambda i: F.struct(
+            F.concat(below, F.array(i["place"])).alias("order_key"), i["raw"].alias("raw")
+        ),
+    )
+    return df.select(*SHEET, stack.alias("stack"), F.inline(opened))
 
 
 def inline_imports(sheets: DataFrame) -> DataFrame:
-    """Replace imports by the imported text, level by level: adds ``inlined`` and ``n_inlined``.
+    """Replace imports by the imported text: adds ``inlined`` and ``n_inlined``.
 
-    Every open import of every sheet is one row with its place (``order_key``) and the imports it
-    came through (``stack``).  A round joins the open imports with the original sheets and replaces
-    each by its pieces; texts are put together per sheet at the end.  A path is resolved from the
-    folder of the outermost sheet.
+    The rounds move no stylesheet text.  An open import is a row of its place in the outermost
+    sheet (``order_key``), its path and the imports it came through (``stack``); each round joins
+    the open imports with the imports of every sheet, which are partitioned once.  Texts are joined
+    to the resulting places at the end, and put together per outermost sheet.  A path is resolved
+    from the folder of the outermost sheet.
     """
-    whole = sheets.select(
-        *SHEET,
-        F.inline(_pieces(F.col("css"), F.array().cast("array<int>"))),
-        F.array().cast("array<string>").alias("stack"),
-    )
-    pieces = cut_lineage(whole)
-    done = [pieces.where("not is_import").select(*SHEET, "order_key", "text", F.lit(0).alias("n"))]
-    open_imports = pieces.where("is_import")
-    bodies = sheets.select(
-        "target_domain", F.col("path").alias("_target"), "css", F.lit(True).alias("_found")
+    width = shuffle_width(sheets.sparkSession)
+    no_ints, no_texts = F.array().cast("array<int>"), F.array().cast("array<string>")
+    structure = cut_lineage(sheets.select(*SHEET, _imports(F.col("css")).alias("imports")))
+    on = ["target_domain", "_target"]
+    known = cut_lineage(
+        salted_copies(
+            structure.select("target_domain", F.col("path").alias("_target"), "imports")
+        ).repartition(width, *on, SALT)
     )
-    raw = F.col("text")
-    for _ in range(MAX_IMPORT_DEPTH + 1):
-        remote = raw.rlike("^https?://")
-        done.append(
-            open_imports.where(remote).select(
-                *SHEET,
-                "order_key",
-                _comment('/* External @import "', raw, '" stripped for offline use */').alias("text"),
-                F.lit(0).alias("n"),
-            )
+    raw, folder = F.col("raw"), U.folder_of(F.col("path"))
+    target = F.when(folder == "", raw).otherwise(F.concat(folder, F.lit("/"), raw))
+    outcome = (
+        F.when(
+            raw.rlike("^https?://"),
+            _comment('/* External @import "', raw, '" stripped for offline use */'),
         )
-        folder = U.folder_of(F.col("path"))
-        target = U.normalize_path(
-            F.when(folder == "", raw).otherwise(F.concat(folder, F.lit("/"), raw))
+        .when(F.col("imports").isNull(), _comment('/* @import "', raw, '" - FILE NOT FOUND */\n'))
+        .when(
+            F.array_contains("stack", raw),
+            _comment('/* @import "', raw, '" - CIRCULAR REFERENCE SKIPPED */\n'),
         )
-        local = open_imports.where(~remote).withColumn(
-            "_target", F.when(~raw.startswith("/"), target).otherwise(F.lit(""))
+        .when(
+            F.size("stack") >= MAX_IMPORT_DEPTH,
+            _comment('/* @import "', raw, '" - MAX DEPTH REACHED */\n'),
         )
-        joined = lookup(
-            local, bodies, ["target_domain", "_target"], ["path", "order_key"], how="left"
+    )
+
+    open_imports = _open_imports(structure, no_ints, no_texts)
+    texts = [sheets.select(*SHEET, F.inline(_texts(F.col("css"), no_ints)), F.lit(0).alias("n"))]
+    rounds = []
+    while True:
+        # A path from the root of the host is no path of a stored file.
+        aimed = pin(
+            open_imports,
+            _target=F.when(raw.startswith("/"), "").otherwise(U.normalize_path(target)),
+            **{SALT: salt_of("path", "order_key")},
         )
-        outcome = (
-            F.when(F.col("_found").isNull(), _comment('/* @import "', raw, '" - FILE NOT FOUND */\n'))
-            .when(
-                F.array_contains("stack", raw),
-                _comment('/* @import "', raw, '" - CIRCULAR REFERENCE SKIPPED */\n'),
+        judged = cut_lineage(pin(aimed.join(known, [*on, SALT], "left"), _stop=outcome))
+        stopped = F.col("_stop").isNotNull()
+        texts.append(
+            judged.where(stopped).select(
+                *SHEET, "order_key", F.col("_stop").alias("text"), F.lit(0).alias("n")
             )
-            .when(
-                F.size("stack") >= MAX_IMPORT_DEPTH,
-                _comment('/* @import "', raw, '" - MAX DEPTH REACHED */\n'),
-            )
-        )
-        judged = pin(joined, _stop=outcome)
-        heading = F.struct(
-            F.concat("order_key", F.array(F.lit(-1))).alias("order_key"),
-            F.lit(False).alias("is_import"),
-            _comment("/* INLINED: ", raw, " */\n").alias("text"),
         )
-        stopped = F.struct(
-            F.col("order_key"), F.lit(False).alias("is_import"), F.col("_stop").alias("text")
+        rounds.append(judged.where(~stopped).select(*SHEET, *on[1:], "order_key", "raw"))
+        open_imports = _open_imports(
+            judged.where(~stopped), F.col("order_key"), F.concat("stack", F.array(raw))
         )
-        body = F.concat(F.array(heading), _pieces(F.col("css"), F.col("order_key")))
-        expanded = cut_lineage(
-            judged.select(
-                *SHEET,
-                F.when(F.col("_stop").isNull(), F.concat("stack", F.array(raw))).alias("stack"),
-                F.posexplode(
-                    F.when(F.col("_stop").isNull(), body).otherwise(F.array(stopped))
-                ).alias("_i", "_p"),
-            ).select(
-                *SHEET,
-                "stack",
-                "_p.*",
-                ((F.col("_i") == 0) & F.col("stack").isNotNull()).cast("int").alias("n"),
-            )
-        )
-        done.append(expanded.where("not is_import").select(*SHEET, "order_key", "text", "n"))
-        open_imports = expanded.where("is_import")
         if open_imports.isEmpty():
             break
-    texts = reduce(DataFrame.unionByName, done)
-    inlined = texts.groupBy(*SHEET).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("order_key", "text"))), lambda p: p["text"]
-            ),
-            "",
-        ).alias("inlined"),
-        F.sum("n").alias("n_inlined"),
+    places = reduce(DataFrame.unionByName, rounds)
+    heading = F.concat("order_key", F.array(F.lit(-1))).alias("order_key")
+    texts.append(
+        places.select(
+            *SHEET, heading, _comment("/* INLINED: ", raw, " */\n").alias("text"), F.lit(1).alias("n")
+        )
+    )
+    bodies = sheets.select("target_domain", F.col("path").alias("_target"), "css").join(
+        places.select(*on).distinct(), on, "left_semi"
+    )
+    texts.append(
+        lookup(places, bodies, on, ["path", "order_key"]).select(
+            *SHEET, F.inline(_texts(F.col("css"), F.col("order_key"))), F.lit(0).alias("n")
+        )
+    )
+    inlined = (
+        reduce(DataFrame.unionByName, texts)
+        .groupBy(*SHEET)
+        .agg(
+            F.array_join(
+                F.transform(
+                    F.array_sort(F.collect_list(F.struct("order_key", "text"))), lambda p: p["text"]
+                ),
+                "",
+            ).alias("inlined"),
+            F.sum("n").alias("n_inlined"),
+        )
     )
     return sheets.join(inlined, SHEET, "left").withColumns(
         {

@@ -8,6 +8,7 @@ from functools import wraps
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from checks.site_fixture import PAGES, built, raw_pages, site_pages, site_sheets
 from webloom.functions import html as H
@@ -720,7 +721,7 @@ def issue_preview(spark, sf_dir):
 # --- guarded rewriting ----------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _squeeze_blanks(text: pd.Series) -> pd.Series:
     return text.str.replace(r" {2,}", " ", regex=True)
 
@@ -828,13 +829,24 @@ def resumed_pages(spark, sf_dir):
     return done.pages.select("page_id", "new_html", "removed", "changed")
 
 
+def _partly_without_media(spark, sf_dir):
+    """Only images named '..7.png' count as media, so that some sites have none."""
+    return _mirror(spark, sf_dir, extensions=("7.png",))
+
+
 @query
 def early_exit_pages(spark, sf_dir):
-    """Only '.bmp' and '.gif' count as media: sites without any keep links and CORS attributes."""
-    done = _mirror(spark, sf_dir, extensions=(".gif", ".0.png", ".7.png", "/7.png"))
+    """Pages of sites without external media keep their links and CORS attributes."""
+    done = _partly_without_media(spark, sf_dir)
     return done.pages.select("page_id", "new_html", "removed", "changed")
 
 
+@query
+def early_exit_stylesheets(spark, sf_dir):
+    done = _partly_without_media(spark, sf_dir)
+    return done.stylesheets.select("target_domain", "path", "new_css", "steps_applied")
+
+
 # --- streams --------------------------------------------------------------------------------
 
 

@@ -803,7 +803,7 @@ def site_durations(spark, sf_dir):
 
 
 def _mirror(spark, sf_dir, **options):
-    return mirror.process(
+    return mirror.Mirror(
         pages_with_path(spark, sf_dir),
         site_sheets(spark, sf_dir),
         media_files(spark, sf_dir),

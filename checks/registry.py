@@ -63,7 +63,7 @@ def shared(function):
     return plan
 
 
-site_pages, site_sheets = shared(site_pages), shared(site_sheets)
+raw_pages, site_pages, site_sheets = shared(raw_pages), shared(site_pages), shared(site_sheets)
 
 
 @shared

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.functions.binding import pin
+from webloom.sources.files import spread
 
 
 def site(n: str) -> str:
@@ -79,7 +80,7 @@ FROM pages
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
 
 
 def _from_pages(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -35,13 +35,16 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 0) -> DataFra
 
     ``max_depth`` 0 has no limit; otherwise URLs one level deeper are seen but not processed.
     Edges are partitioned and sorted by their source once and kept in a checkpoint, so a round
-    moves only its frontier; each round writes only the URLs it adds.
+    moves only its frontier; each round writes only the URLs it adds.  ``pin`` keeps the conditions
+    that made the edges from being tested again on every frontier.
     """
     width = shuffle_width(edges.sparkSession)
     outgoing = cut_lineage(
-        edges.select("target_domain", F.col("src_url").alias("url"), "dst_url")
+        pin(edges.select("target_domain", "src_url", "dst_url"), url=F.col("src_url"))
+        .drop("src_url")
         .repartition(width, *NODE)
-        .sortWithinPartitions(*NODE)
+        .sortWithinPartitions(*NODE),
+        keep_layout=True,
     )
     level = 0
     frontier = cut_lineage(seeds.select(*NODE).distinct().withColumn("depth", F.lit(0)))

@@ -55,14 +55,16 @@ def _texts(css: Column, below: Column) -> Column:
     )
 
 
-def _open_imports(df: DataFrame, below: Column, stack: Column) -> DataFrame:
-    opened = F.transform(
-        "imports",
-        lambda i: F.struct(
-            F.concat(below, F.array(i["place"])).alias("order_key"), i["raw"].alias("raw")
-        ),
+def _opened(below: Column) -> Column:
+    """Imports of a sheet as rows below a place."""
+    return F.inline(
+        F.transform(
+            "imports",
+            lambda i: F.struct(
+                F.concat(below, F.array(i["place"])).alias("order_key"), i["raw"].alias("raw")
+            ),
+        )
     )
-    return df.select(*SHEET, stack.alias("stack"), F.inline(opened))
 
 
 def inline_imports(sheets: DataFrame) -> DataFrame:
@@ -81,10 +83,16 @@ def inline_imports(sheets: DataFrame) -> DataFrame:
     known = cut_lineage(
         salted_copies(
             structure.select("target_domain", F.col("path").alias("_target"), "imports")
-        ).repartition(width, *on, SALT)
+        )
+        .repartition(width, *on, SALT)
+        .sortWithinPartitions(*on, SALT),
+        keep_layout=True,
     )
     raw, folder = F.col("raw"), U.folder_of(F.col("path"))
-    target = F.when(folder == "", raw).otherwise(F.concat(folder, F.lit("/"), raw))
+    joined = F.when(folder == "", raw).otherwise(F.concat(folder, F.lit("/"), raw))
+    # A path from the root of the host is no path of a stored file.
+    target = F.when(raw.startswith("/"), "").otherwise(U.normalize_path(joined))
+    salt = salt_of("path", "order_key")
     outcome = (
         F.when(
             raw.rlike("^https?://"),
@@ -101,27 +109,22 @@ def inline_imports(sheets: DataFrame) -> DataFrame:
         )
     )
 
-    open_imports = _open_imports(structure, no_ints, no_texts)
+    open_imports = structure.select(*SHEET, no_texts.alias("stack"), _opened(no_ints))
+    opened_below = _opened(F.col("order_key"))
+    longer_stack = F.concat("stack", F.array(raw)).alias("stack")
     texts = [sheets.select(*SHEET, F.inline(_texts(F.col("css"), no_ints)), F.lit(0).alias("n"))]
     rounds = []
+    stopped = F.col("_stop").isNotNull()
     while True:
-        # A path from the root of the host is no path of a stored file.
-        aimed = pin(
-            open_imports,
-            _target=F.when(raw.startswith("/"), "").otherwise(U.normalize_path(target)),
-            **{SALT: salt_of("path", "order_key")},
-        )
+        aimed = pin(open_imports, _target=target, **{SALT: salt})
         judged = cut_lineage(pin(aimed.join(known, [*on, SALT], "left"), _stop=outcome))
-        stopped = F.col("_stop").isNotNull()
         texts.append(
             judged.where(stopped).select(
                 *SHEET, "order_key", F.col("_stop").alias("text"), F.lit(0).alias("n")
             )
         )
         rounds.append(judged.where(~stopped).select(*SHEET, *on[1:], "order_key", "raw"))
-        open_imports = _open_imports(
-            judged.where(~stopped), F.col("order_key"), F.concat("stack", F.array(raw))
-        )
+        open_imports = judged.where(~stopped).select(*SHEET, longer_stack, opened_below)
         if open_imports.isEmpty():
             break
     places = reduce(DataFrame.unionByName, rounds)

@@ -43,13 +43,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and keeps partitioning and order."""
+def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """Reliable checkpoint in the shared folder: survives lost executors.
+
+    ``keep_layout`` also keeps partitioning and order, so later joins on the same keys do not
+    shuffle these rows again.  An adaptive plan does not report its layout, so this one is planned
+    without adaptive execution; give it an explicit ``repartition``.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if not keep_layout:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def shuffle_width(spark: SparkSession) -> int:

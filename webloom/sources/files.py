@@ -19,6 +19,18 @@ def _relative(folder: str):
     }
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition an input that has fewer splits than the session has cores.
+
+    Cutting pages is work for the processor, and one small file is one split.  A large input has
+    many splits and is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """All files below a folder: (path, length); contents are not read."""
     relative, helpers = _relative(folder)

@@ -32,7 +32,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """All files below a folder: (path, length); contents are not read."""
+    """All files below a folder: (path, length); contents are not read.
+
+    Spark's file sources leave out files without content.
+    """
     relative, helpers = _relative(folder)
     files = (
         spark.read.format("binaryFile")

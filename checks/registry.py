@@ -28,7 +28,7 @@ from webloom.operators import (
     validate,
 )
 from webloom.plans import mirror
-from webloom.session import shared_folder
+from webloom.session import cut_lineage, shared_folder
 from webloom.sources import files as file_tables
 from webloom.streaming import jobs
 
@@ -546,7 +546,8 @@ def download_batches(spark, sf_dir):
 
 @query
 def url_map(spark, sf_dir):
-    return mapped_media(spark, sf_dir)
+    stored = cut_lineage(media_set(spark, sf_dir))
+    return media.url_map(stored, media_files(spark, sf_dir), mark_shared=True)
 
 
 @query

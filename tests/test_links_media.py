@@ -53,7 +53,7 @@ def test_url_map(spark):
         "target_domain string, url string",
     )
     files = spark.createDataFrame([("d", "images/x.png", 1), ("d", "other/y.png", 1)], "target_domain string, path string, length int")
-    rows = media.url_map(found, files).orderBy("url").collect()
+    rows = media.url_map(found, files, mark_shared=True).orderBy("url").collect()
     assert [(r.url, r.filename, r.shared) for r in rows] == [
         ("https://a.org/x.png", "x.png", True), ("https://b.org/x.png", "x.png", True),
     ]

@@ -69,7 +69,7 @@ def test_jsonc_is_preferred(spark, tmp_path):
 
 
 def test_report(one, spark):
-    cases = {0: "0 bytes", 1023: "1023 bytes", 1024: "1.00 KB", 1536: "1.50 KB", 1048576: "1.00 MB", 5368709120: "5.00 GB"}
+    cases = {0: "0 bytes", 1023: "1023 bytes", 1024: "1.00 KB", 1536: "1.50 KB", 101504: "99.12 KB", 1048576: "1.00 MB", 5368709120: "5.00 GB"}
     assert one(lambda c: report.format_size(c.cast("bigint")), list(cases)) == list(cases.values())
     stored = spark.createDataFrame([("d", "a", 1000), ("d", "b", 48)], "target_domain string, path string, length bigint")
     log = spark.createDataFrame([("d", "x", 0), ("d", "y", 4)], "target_domain string, url string, status int")

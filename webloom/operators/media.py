@@ -100,10 +100,11 @@ def scan_counters(
     )
 
 
-def url_map(media: DataFrame, files: DataFrame) -> DataFrame:
-    """Media URLs whose file is in the site's media folder: (target_domain, url, filename, shared).
+def url_map(media: DataFrame, files: DataFrame, mark_shared: bool = False) -> DataFrame:
+    """Media URLs whose file is in the site's media folder: (target_domain, url, filename).
 
-    ``shared`` marks a file name that several URLs of the site map to.
+    ``mark_shared`` adds ``shared``, true for a file name that several URLs of the site map to; it
+    reads the media set a second time, so give a stored one.
     """
     names = pin(media, filename=U.basename(F.col("url"))).where(F.col("filename") != "")
     present = (
@@ -112,7 +113,8 @@ def url_map(media: DataFrame, files: DataFrame) -> DataFrame:
         .distinct()
     )
     found = lookup(names, present, ["target_domain", "filename"], ["url"])
+    found = found.select("target_domain", "url", "filename")
+    if not mark_shared:
+        return found
     uses = found.groupBy("target_domain", "filename").agg((F.count("*") > 1).alias("shared"))
-    return lookup(found, uses, ["target_domain", "filename"], ["url"]).select(
-        "target_domain", "url", "filename", "shared"
-    )
+    return lookup(found, uses, ["target_domain", "filename"], ["url"])

@@ -7,7 +7,7 @@ at all if the page table is bucketed by page_id), and is changed inside its row.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,35 +28,58 @@ INTERNAL_TAGS = {
 PAGE_KEYS = ("page_id", "target_domain", "path")
 
 
-def external_edits(pages: DataFrame, url_map: DataFrame) -> DataFrame:
-    """Remote media that has a local copy: (page_id, pos, attr, value)."""
-    references = attribute_values(pages, EXTERNAL_TAGS, PAGE_KEYS).withColumn(
-        "_url", U.strip_query(F.col("raw"))
-    )
-    targets = url_map.select("target_domain", F.col("url").alias("_url"), "filename")
-    hits = lookup(references, targets, ["target_domain", "_url"], ["page_id", "pos", "attr"])
-    local = F.concat(U.up_prefix(F.col("path")), F.lit(f"{MEDIA_FOLDER}/"), F.col("filename"))
-    return hits.select("page_id", "pos", "attr", local.alias("value"))
-
-
-def internal_edits(
-    pages: DataFrame, inventory: DataFrame, keep_fragment: bool = False
+def link_edits(
+    pages: DataFrame,
+    url_map: DataFrame | None = None,
+    inventory: DataFrame | None = None,
+    keep_fragment: bool = False,
 ) -> DataFrame:
-    """Links into the own site whose file exists: (page_id, pos, attr, value)."""
-    raw = F.col("raw")
-    base = U.page_address(F.col("target_domain"), F.col("path"))
-    references = attribute_values(pages, INTERNAL_TAGS, PAGE_KEYS).where(
-        U.is_navigable(raw) & ((F.col("tag") == "a") | ~raw.startswith("../"))
-    )
-    internal = pin(references, _abs=U.resolve(base, raw)).where(
-        ~U.is_rejected(F.col("_abs"), F.col("target_domain"))
-    )
-    candidates = pin(internal, _target=U.local_path(F.col("_abs")))
-    stored = inventory.select("target_domain", F.col("path").alias("_target")).distinct()
-    hits = lookup(candidates, stored, ["target_domain", "_target"], ["page_id", "pos", "attr"])
-    value = U.relative_path(F.col("_target"), F.col("path"))
-    if keep_fragment:
-        value = F.concat(value, F.regexp_extract("_abs", "#.*$", 0))
+    """Values that get a local path: (page_id, pos, attr, value).
+
+    Remote media with a local copy if a map is given, links into the own site whose file exists if
+    an inventory is given.  Every reference has one key, 'u:' and a remote URL or 'p:' and a path
+    in the site, so both are found by one scan of the pages and one join.
+    """
+    wanted = {
+        **(EXTERNAL_TAGS if url_map is not None else {}),
+        **(INTERNAL_TAGS if inventory is not None else {}),
+    }
+    raw, key = F.col("raw"), ["target_domain", "_key"]
+    found = attribute_values(pages, wanted, PAGE_KEYS)
+    dictionaries = []
+    own = F.lit(None).cast("string")
+    if inventory is not None:
+        base = U.page_address(F.col("target_domain"), F.col("path"))
+        allowed = U.is_navigable(raw) & ((F.col("tag") == "a") | ~raw.startswith("../"))
+        found = pin(found, _abs=F.when(allowed, U.resolve(base, raw)))
+        kept = ~U.is_rejected(F.col("_abs"), F.col("target_domain"))
+        found = pin(
+            found, _target=F.when(F.col("_abs").isNotNull() & kept, U.local_path(F.col("_abs")))
+        )
+        own = F.concat(F.lit("p:"), "_target")
+        paths = inventory.select("target_domain", "path").distinct()
+        dictionaries.append(
+            paths.select("target_domain", F.concat(F.lit("p:"), "path").alias("_key"), "path")
+        )
+    if url_map is not None:
+        remote = F.col("tag").isin(*EXTERNAL_TAGS) & raw.rlike("^https?://")
+        own = F.coalesce(own, F.when(remote, F.concat(F.lit("u:"), U.strip_query(raw))))
+        dictionaries.append(
+            url_map.select(
+                "target_domain",
+                F.concat(F.lit("u:"), "url").alias("_key"),
+                F.concat(F.lit(f"{MEDIA_FOLDER}/"), "filename").alias("path"),
+            )
+        )
+    dictionary = reduce(DataFrame.unionByName, dictionaries).withColumnRenamed("path", "_file")
+    references = pin(found, _key=own).where(F.col("_key").isNotNull())
+    hits = lookup(references, dictionary, key, ["page_id", "pos", "attr"])
+    value = F.concat(U.up_prefix(F.col("path")), "_file")
+    if inventory is not None:
+        inside = U.relative_path(F.col("_file"), F.col("path"))
+        if keep_fragment:
+            inside = F.concat(inside, F.regexp_extract("_abs", "#.*$", 0))
+        value = F.when(F.col("_key").startswith("p:"), inside).otherwise(value)
     return hits.select("page_id", "pos", "attr", value.alias("value"))
 
 
@@ -148,13 +171,14 @@ def apply_edits(
 
 
 def relink_external(pages: DataFrame, url_map: DataFrame) -> DataFrame:
-    return apply_edits(pages, external_edits(pages, url_map), strip_cors=True)
+    return apply_edits(pages, link_edits(pages, url_map), strip_cors=True)
 
 
 def relink_internal(
     pages: DataFrame, inventory: DataFrame, keep_fragment: bool = False
 ) -> DataFrame:
-    return apply_edits(pages, internal_edits(pages, inventory, keep_fragment))
+    edits = link_edits(pages, inventory=inventory, keep_fragment=keep_fragment)
+    return apply_edits(pages, edits)
 
 
 def relink(
@@ -163,13 +187,8 @@ def relink(
     inventory: DataFrame | None = None,
     cors_pages: DataFrame | None = None,
 ) -> DataFrame:
-    """External and, with an inventory, internal links with one pass over the page text.
-
-    The two never touch the same value: one needs a remote host, the other the page's own.
-    """
-    edits = external_edits(pages, url_map)
-    if inventory is not None:
-        edits = edits.unionByName(internal_edits(pages, inventory))
+    """External and, with an inventory, internal links with one pass over the page text."""
+    edits = link_edits(pages, url_map, inventory)
     return apply_edits(pages, edits, strip_cors=True, cors_pages=cors_pages)
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def format_size(size: Column) -> Column:
+    """Size with two decimals in the largest unit; ties round to the even digit."""
     units = ((1_073_741_824, "GB"), (1_048_576, "MB"), (1_024, "KB"))
     text = F.concat(size.cast("string"), F.lit(" bytes"))
     for factor, unit in reversed(units):
         text = F.when(
-            size >= factor, F.format_string(f"%.2f {unit}", size.cast("double") / factor)
+            size >= factor, F.format_string(f"%.2f {unit}", F.bround(size.cast("double") / factor, 2))
         ).otherwise(text)
     return text
 

@@ -13,6 +13,7 @@ from webloom.functions import urls as U
 from webloom.functions.binding import pin
 from webloom.operators import crawl, media, offline, relink, report, stylesheets, validate
 from webloom.operators.joins import lookup
+from webloom.session import cut_lineage
 
 
 def with_path(pages: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ class Mirror:
 
     @cached_property
     def media(self) -> DataFrame:
-        return media.external_media(self.source, self.sheets, self.extensions)
+        """Stored once: the other results use it without reading the pages again."""
+        return cut_lineage(media.external_media(self.source, self.sheets, self.extensions))
 
     @cached_property
     def url_map(self) -> DataFrame:

@@ -222,7 +222,8 @@ def rewrite_stylesheets(sheets: DataFrame, url_map: DataFrame) -> DataFrame:
 
     The two steps that need joins (imports, local copies) are computed beside the text and enter
     the guarded sequence as columns; local copies are looked up in the text after the font step,
-    which is what the guard would keep: a sheet of comments is not blank.
+    which is what the guard would keep: a sheet of comments is not blank.  The inlined text is
+    stored once, as the look-up and the result both read it.
     """
     filled = sheets.where(F.col("css") != "")
     inlined = inline_imports(sheets).where(F.col("css") != "")
@@ -236,7 +237,7 @@ def rewrite_stylesheets(sheets: DataFrame, url_map: DataFrame) -> DataFrame:
         css_error,
         out="_text",
     ).withColumnsRenamed({"steps_applied": "_first_steps", "failures": "_first_failures"})
-    localized = localize(with_fonts, url_map, "_text", "_localized")
+    localized = localize(cut_lineage(with_fonts), url_map, "_text", "_localized")
     rest = run_steps(
         localized,
         "_text",

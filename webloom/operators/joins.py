@@ -87,7 +87,7 @@ def ordinal(
 def tiles(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], n: int, name: str
 ) -> DataFrame:
-    """``ntile(n)`` per group: the first ``count % n`` tiles hold one row more."""
+    """``ntile(n)`` per group (at least one): the first ``count % n`` tiles hold one row more."""
     numbered = ordinal(df, groups, order, "_row")
     sizes = numbered.groupBy(*groups).agg(F.count("*").alias("_size"))
     base = F.floor(F.col("_size") / n)
@@ -96,5 +96,5 @@ def tiles(
     tile = F.when(
         F.col("_row") <= large, F.floor((F.col("_row") - 1) / (base + 1)) + 1
     ).otherwise(extra + F.floor((F.col("_row") - 1 - large) / F.greatest(base, F.lit(1))) + 1)
-    joined = numbered.join(sizes, list(groups)) if groups else numbered.crossJoin(sizes)
+    joined = lookup(numbered, sizes, groups, order)
     return joined.withColumn(name, tile.cast("int")).drop("_row", "_size")

@@ -100,6 +100,16 @@ LABELLED = (
     strong rope by hand</h1><p>+ Rope is made of yarn, yarn of fibre, and fibre grows in the fields behind the
     houses of the rope makers.</p><p>+ It is twisted three times over before it is sold to the ships.</p>
     <ul><li><a href=c>About us</a></li><li>Imprint</li></ul>""",
+    """+ A page may be nothing but its text, without a single tag around it to show where it starts.""",
+    """<h1>+ Keys</h1><p>+ A key opens one lock and no other, or so the man who sold it to us had said, and
+    he had sold a great many of them.</p><p>+ He was wrong about this one, as we found out in the same week.</p>""",
+    """<article><p>+ Rest.</p></article>""",
+    """<div>+ Stones are picked from the field each spring, and each spring there are as many as before.</div>
+    <article><p>+ Stones.</p><p>+ More.</p></article>""",
+    """<div>Top</div><p>+ The lamp was lit at six and put out at ten by the keeper, who then went to bed and
+    slept until the bell rang.</p><div>Send</div>""",
+    """<div>Welcome</div><div><a href=j>Start</a></div><p>+ A road leads from the mill to the church and from
+    there to the station, where no train stops.</p><p>+ It is four miles long and has no bend in it at all.</p>""",
     """<main><p>+ <a href=u>Nuts</a></p><p>+ Shells.</p><p>+ A nut has a shell that must be broken first if
     one wants to eat it.</p></main><div>Top</div>""",
 )

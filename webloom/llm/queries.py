@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import byte_bpe, main_text
+from webloom.llm import byte_bpe, main_text, simhash
 from webloom.llm.common import read
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -19,6 +23,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_simhash": op6_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_main_text": op10_main_text,
 }

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+import webloom
 
 from webloom.session import shared_folder
 
@@ -40,10 +46,14 @@ def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` for functions that yield columns as a dict; empty results yield nothing."""
-    kinds = df.sparkSession.createDataFrame([], schema).schema
+    spark = df.sparkSession
+    # Workers that this session starts find the package where the driver has it.
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    root = str(Path(webloom.__file__).resolve().parent.parent)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    kinds = spark.createDataFrame([], schema).schema
     names = kinds.names
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(kinds)
 
     def run(batches):
@@ -69,7 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         if batch.num_rows == 0:
             continue
         sizes = np.array(
-            pa.compute.fill_null(pa.compute.binary_length(array), 0), dtype=np.int64
+            pc.fill_null(pc.binary_length(array), 0), dtype=np.int64
         )
         part = np.cumsum(sizes) // limit
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]

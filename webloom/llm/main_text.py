@@ -242,14 +242,8 @@ def fitted():
     """The tree of the labelled pages."""
     features, labels = [], []
     for page in LABELLED:
-        texts, x = blocks(page)
-        features.append(x)
-        labels += [t.startswith("+") for t in texts]
-        # The mark is not a word of the text.
-        marks = np.array([t.startswith("+") for t in texts], float)
-        x[:, 0] -= marks
-        x[1:, 2] -= marks[:-1]
-        x[:-1, 4] -= marks[1:]
+        labels += [t.startswith("+") for t in blocks(page)[0]]
+        features.append(blocks(page.replace("+ ", ""))[1])
     return grown(np.concatenate(features), np.array(labels, float))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import byte_bpe, main_text, simhash, substring_dedup
+from webloom.llm import byte_bpe, main_text, simhash, spherical, substring_dedup, syncmers
 from webloom.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -22,13 +26,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(read(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_syncmers": op3_syncmers,
     "op6_simhash": op6_simhash,
+    "op9_spherical_caps": op9_spherical_caps,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_main_text": op10_main_text,
 }

@@ -5,7 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import byte_bpe, main_text, simhash, spherical, substring_dedup, syncmers
+from webloom.llm import (
+    byte_bpe,
+    main_text,
+    packing,
+    sharding,
+    simhash,
+    spherical,
+    substring_dedup,
+    syncmers,
+)
 from webloom.llm.common import read
 
 
@@ -13,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(read(spark, sf_dir, "documents"))
+
+
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -21,6 +34,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed(read(spark, sf_dir, "documents"), tokenizer)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -36,8 +54,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_histogram_shards": op2_histogram_shards,
     "op3_syncmers": op3_syncmers,
     "op6_simhash": op6_simhash,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_spherical_caps": op9_spherical_caps,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_main_text": op10_main_text,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm import (
     byte_bpe,
+    lattice_lm,
     main_text,
     packing,
     sharding,
@@ -14,6 +15,7 @@ from webloom.llm import (
     spherical,
     substring_dedup,
     syncmers,
+    toxicity,
 )
 from webloom.llm.common import read
 
@@ -30,6 +32,15 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return lattice_lm.scores(read(spark, sf_dir, "documents"), pieces)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -56,6 +67,8 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_histogram_shards": op2_histogram_shards,
     "op3_syncmers": op3_syncmers,
+    "op4_toxicity": op4_toxicity,
+    "op5_lattice_lm": op5_lattice_lm,
     "op6_simhash": op6_simhash,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_spherical_caps": op9_spherical_caps,

@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -143,13 +144,12 @@ def links(classes: DataFrame, limit: int = 4096) -> DataFrame:
     return arrow_map(dealt, run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, limit: int = 4096) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every document.
+def classes_of(found: DataFrame, limit: int = 4096) -> DataFrame:
+    """(fp, first, component_id): the component of each different fingerprint of stored rows.
 
-    ``component_id`` is the smallest doc_id that can be reached over links.  ``limit`` is the number
-    of fingerprints with one key that one task compares; larger groups are split into blocks.
+    ``first`` is the smallest doc_id with the fingerprint, ``component_id`` the smallest of all that can
+    be reached over links.
     """
-    found = stored(fingerprints(docs), "simhash")
     classes = stored(
         found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes"
     )
@@ -159,9 +159,45 @@ def near_duplicates(docs: DataFrame, limit: int = 4096) -> DataFrame:
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    class_of = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(class_of, "fp").select(
+    return rooted.join(least, "root").select("fp", "root", "first", "component_id")
+
+
+def near_duplicates(docs: DataFrame, limit: int = 4096) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every document.
+
+    ``component_id`` is the smallest doc_id that can be reached over links.  ``limit`` is the number
+    of fingerprints with one key that one task compares; larger groups are split into blocks.
+    """
+    found = stored(fingerprints(docs), "simhash")
+    return found.join(classes_of(found, limit), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest doc_id.
+
+    A component without any doc_id keeps one of its rows, and so do rows that share the smallest one
+    (any of them: they have one fingerprint).
+    """
+    kept = docs.withColumn("_fp", F.pandas_udf(_signed, "bigint")(F.col("text")))
+    rows = stored(kept, "simhash-rows")
+    best = classes_of(rows.select("doc_id", F.col("_fp").alias("fp")))
+    # The fingerprint that stands for the component: one that the smallest id has.
+    chosen = (
+        best.where(F.col("first").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
+        .agg(F.min("fp").alias("_fp"), F.first("component_id").alias("_first"))
+        .drop("root")
+    )
+    here = rows.join(chosen, "_fp")
+    here = here.where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    # Only rows with the same smallest id can be left; as a rule there is one.
+    return here.dropDuplicates(["_fp"]).select(*docs.columns)
+
+
+def _signed(texts: pd.Series) -> pd.Series:
+    values = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+    return pd.Series(values.view(np.int64))

@@ -150,37 +150,26 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
         while left:
             room = tree.tightest(length)
             if room < 0:
-                # New sequences: each takes as many pieces of this length as fit, as best fit does.
-                fits = capacity // length
-                number = -(-left // fits) if fits > 1 and left % fits == 0 else left // fits
-                number = number or 1
-                take = min(left, number * fits)
-                for k in range(fits):
-                    n = min(number, take - k * number)
-                    if n <= 0:
-                        break
-                    plan.append((length, rank, n, fresh, k * length))
-                    rank += n
-                used = take // number
-                room = capacity - used * length
-                if room:
-                    open_[room].append((fresh, number))
-                    tree.set(room, True)
-                fresh += number
-                left -= take
-                continue
-            first, number = open_[room].popleft()
-            n = min(left, number)
-            if number > n:
+                room, first, number = capacity, fresh, left
+            else:
+                first, number = open_[room].popleft()
+            # A sequence just used is the tightest again as long as another piece fits into it.
+            fits = min(room // length, left)
+            n = min(number, left // fits)
+            if room == capacity:
+                fresh += n
+            elif number > n:
                 open_[room].appendleft((first + n, number - n))
-            if not open_[room]:
+            elif not open_[room]:
                 tree.set(room, False)
-            plan.append((length, rank, n, first, capacity - room))
-            if room > length:
-                open_[room - length].append((first, n))
-                tree.set(room - length, True)
-            rank += n
-            left -= n
+            for k in range(fits):
+                plan.append((length, rank, n, first, capacity - room + k * length))
+                rank += n
+            left -= n * fits
+            room -= fits * length
+            if room:
+                open_[room].append((first, n))
+                tree.set(room, True)
     return np.array(plan, np.int64).reshape(-1, 5)
 
 

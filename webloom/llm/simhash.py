@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import (
+    NO_ID,
     arrow_map,
     block_pairs,
     components,
@@ -180,22 +181,26 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest doc_id.
 
     A component without any doc_id keeps one of its rows, and so do rows that share the smallest one
-    (any of them: they have one fingerprint).
+    (the row whose text has the smallest hash).
     """
-    kept = docs.withColumn("_fp", F.pandas_udf(_signed, "bigint")(F.col("text")))
-    rows = stored(kept, "simhash-rows")
-    best = classes_of(rows.select("doc_id", F.col("_fp").alias("fp")))
-    # The fingerprint that stands for the component: one that the smallest id has.
+    keyed = docs.select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
+        F.xxhash64("text").alias("th"),
+        F.struct(*docs.columns).alias("row"),
+    )
+    rows = stored(
+        keyed.select("id", "th", F.pandas_udf(_signed, "bigint")("row.text").alias("fp")), "simhash"
+    )
+    roots = classes_of(rows.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "fp"))
     chosen = (
-        best.where(F.col("first").eqNullSafe(F.col("component_id")))
+        rows.join(roots.select("fp", "root"), "fp")
         .groupBy("root")
-        .agg(F.min("fp").alias("_fp"), F.first("component_id").alias("_first"))
-        .drop("root")
+        .agg(F.min(F.struct("id", "th")).alias("s"))
+        .select("s.id", "s.th")
     )
-    here = rows.join(chosen, "_fp")
-    here = here.where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    # Only rows with the same smallest id can be left; as a rule there is one.
-    return here.dropDuplicates(["_fp"]).select(*docs.columns)
+    # Rows that agree in both are repeated rows: one of them stays.
+    kept = keyed.join(chosen, ["id", "th"]).dropDuplicates(["id", "th"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _signed(texts: pd.Series) -> pd.Series:

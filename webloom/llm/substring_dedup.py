@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import NO_ID, arrow_map, stored
 
 LENGTH = 50
-SEED = 20
+SEED = 10
 # Odd bases of the rolling hashes, and their inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Different words whose hashes a worker remembers.
@@ -179,21 +179,6 @@ def repeats(docs: DataFrame) -> DataFrame:
         classes.join(shared, "anchor").select("anchor", "content", "s", "last", "classes"), "seeds"
     )
 
-    # Equal stretches: all documents but the first of the class lose theirs.
-    several = seeds.where(F.col("last") > F.col("s.id")).select(
-        "anchor", "content", F.col("s.id").alias("least")
-    )
-    whole = (
-        found.join(several, ["anchor", "content"])
-        .where(F.col("id") > F.col("least"))
-        .select(
-            "id",
-            "th",
-            F.col("first").alias("start"),
-            (F.col("first") + F.col("count") + LENGTH - 1).alias("end"),
-        )
-    )
-
     # Anchors with several classes: extend the first document of each.
     wanted = (
         seeds.where("classes > 1")
@@ -219,23 +204,33 @@ def repeats(docs: DataFrame) -> DataFrame:
         .groupBy("anchor", "content")
         .agg(F.collect_set("t").alias("ts"))
     )
-    # Only the first document of a class still needs them; it may hold the class several times.
-    part = (
-        found.join(hits, ["anchor", "content"])
-        .join(
-            seeds.where("classes > 1").select("anchor", "content", F.col("s.id").alias("least")),
-            ["anchor", "content"],
-        )
-        .where(F.col("id") == F.col("least"))
-        .select("id", "th", F.explode("ts").alias("t"), "first")
-        .select(
-            "id",
-            "th",
-            (F.col("first") + F.col("t")).alias("start"),
-            (F.col("first") + F.col("t") + LENGTH).alias("end"),
+    # Equal stretches: all documents but the first of the class lose theirs.  The first one (it may
+    # hold the class several times) loses the windows that a document before it has.
+    info = (
+        seeds.select(
+            "anchor",
+            "content",
+            F.col("s.id").alias("least"),
+            (F.col("last") > F.col("s.id")).alias("several"),
         )
+        .join(hits, ["anchor", "content"], "left")
+        .where(F.col("several") | F.col("ts").isNotNull())
+    )
+    first, count = F.col("first"), F.col("count")
+    span = F.when(
+        F.col("id") > F.col("least"),
+        F.array(F.struct(first.alias("start"), (first + count + (LENGTH - 1)).alias("end"))),
+    ).when(
+        F.col("id") == F.col("least"),
+        F.transform(
+            "ts", lambda t: F.struct((first + t).alias("start"), (first + t + LENGTH).alias("end"))
+        ),
+    )
+    return (
+        found.join(info, ["anchor", "content"])
+        .select("id", "th", F.explode(span).alias("span"))
+        .select("id", "th", "span.start", "span.end")
     )
-    return whole.union(part)
 
 
 def _extend(batches: Iterator[pa.RecordBatch]):

@@ -19,11 +19,16 @@ TAG = r"""<[A-Za-z][^\s/>"']*[^'">]*(?:"[^"]*"[^'">]*|'[^']*'[^'">]*)*>"""
 RAW = [rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in ("script", "style", "textarea", "title")]
 ITEM = "(?is)" + "|".join(["<!--.*?-->", *RAW, TAG])
 IMPORT = r"""@import\s+(?:url\(\s*)?["']([^"']+)["'](?:\s*\))?;"""
+# Extensions of saved files and of media, and the style added to pages.
 KNOWN = (
-    "css js html htm json xml png jpg jpeg gif webp svg ico bmp woff woff2 ttf eot otf "
-    "mp4 webm avi mkv mov mp3 pdf"
-).split()
-MEDIA = "png jpg jpeg gif webp mp4 webm avi mkv mov svg ico bmp css js woff2".split()
+    ".css", ".js", ".html", ".htm", ".json", ".xml", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg",
+    ".ico", ".bmp", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".mp4", ".webm", ".avi", ".mkv", ".mov",
+    ".mp3", ".pdf",
+)
+MEDIA = (
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".mp4", ".webm", ".avi", ".mkv", ".mov", ".svg", ".ico",
+    ".bmp", ".css", ".js", ".woff2",
+)
 PATTERNS = r"action=|Special:|sort=|f=[0-9]+&"
 STYLE = """<style>/* Minimal fallback CSS for offline browsing */
 body { font-family: Arial, sans-serif; line-height: 1.6; margin: 0; padding: 0; }
@@ -105,7 +110,7 @@ def file_path(u: str) -> str:
 
 
 def save_path(p: str) -> str:
-    known = has(p, rf"(?i)[^/][.](?:{'|'.join(KNOWN)})$")
+    known = has(p, rf"(?i)[^/](?:{'|'.join(n.replace('.', '[.]') for n in KNOWN)})$")
     return f"CASE WHEN {known} THEN {p} ELSE {p} || '.html' END"
 
 
@@ -114,7 +119,7 @@ def local(u: str) -> str:
 
 
 def is_media(u: str, names=MEDIA) -> str:
-    return has(u, rf"(?i)(?:{'|'.join('[.]' + n for n in names)})(?:\?.*)?$")
+    return has(u, rf"(?i)(?:{'|'.join(n.replace('.', '[.]') for n in names)})(?:\?.*)?$")
 
 
 def basename(u: str) -> str:
@@ -254,49 +259,73 @@ def checks_of(pages: str) -> str:
         {has('html', r'[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')} AS has_binary_content FROM {pages})"""
 
 
-def removable() -> str:
+def removable(tag: str, markup: str, body: str) -> dict[int, str]:
     """Condition on link and script items, rule by rule."""
-    rel, kind = attribute("markup", "rel"), attribute("markup", "type")
-    href, src = attribute("markup", "href"), attribute("markup", "src")
+    rel, kind = attribute(markup, "rel"), attribute(markup, "type")
+    href, src = attribute(markup, "href"), attribute(markup, "src")
     token = "(^|\\s){0}(\\s|$)"
     return {
-        1: f"tag = 'link' AND {has(rel, token.format('stylesheet'))} AND {has(href, '^https?://.*load[.]php')}",
-        2: f"tag = 'script' AND {has(src, '^https?://.*load[.]php')}",
-        3: f"tag = 'link' AND {has(rel, token.format('preconnect'))}",
-        4: f"tag = 'link' AND {has(rel, token.format('dns-prefetch'))}",
-        5: f"tag = 'link' AND {has(rel, token.format('EditURI'))}",
-        6: f"tag = 'link' AND {has(kind, 'application/(atom|rss)[+]xml')}",
-        7: "tag = 'script' AND contains(body, '_paq')",
-        8: f"tag = 'script' AND {has(src, '(?i)google-analytics[.]com')}",
-        9: f"tag = 'script' AND {has('body', '(?i)google-analytics[.]com')}",
-        11: f"tag = 'script' AND {has(src, '9a832b96e0[.]js')}",
-        12: f"tag = 'link' AND {has(href, '(?i)use[.]fontawesome[.]com')}",
-        13: "tag = 'script' AND contains(body, 'FontAwesomeCdnConfig')",
-        14: f"tag = 'script' AND {has('body', '''ga[(]['"]create['"]''')}",
-        15: f"tag = 'script' AND {has('body', '''ga[(]['"]send['"]''')}",
+        1: f"{tag} = 'link' AND {has(rel, token.format('stylesheet'))} AND {has(href, '^https?://.*load[.]php')}",
+        2: f"{tag} = 'script' AND {has(src, '^https?://.*load[.]php')}",
+        3: f"{tag} = 'link' AND {has(rel, token.format('preconnect'))}",
+        4: f"{tag} = 'link' AND {has(rel, token.format('dns-prefetch'))}",
+        5: f"{tag} = 'link' AND {has(rel, token.format('EditURI'))}",
+        6: f"{tag} = 'link' AND {has(kind, 'application/(atom|rss)[+]xml')}",
+        7: f"{tag} = 'script' AND contains({body}, '_paq')",
+        8: f"{tag} = 'script' AND {has(src, '(?i)google-analytics[.]com')}",
+        9: f"{tag} = 'script' AND {has(body, '(?i)google-analytics[.]com')}",
+        11: f"{tag} = 'script' AND {has(src, '9a832b96e0[.]js')}",
+        12: f"{tag} = 'link' AND {has(href, '(?i)use[.]fontawesome[.]com')}",
+        13: f"{tag} = 'script' AND contains({body}, 'FontAwesomeCdnConfig')",
+        14: f"{tag} = 'script' AND {has(body, '''ga[(]['"]create['"]''')}",
+        15: f"{tag} = 'script' AND {has(body, '''ga[(]['"]send['"]''')}",
     }
 
 
-FIRST_RULE = "CASE " + " ".join(f"WHEN {t} THEN {n}" for n, t in removable().items()) + " END"
-NOSCRIPT = r"""(?is)<noscript[^>]*>(?:[^<]|<[^/i]|</[^n])*<img[^>]*\ssrc=["']?[^"'>]*(?:matomo|analytics|doubleclick|google-analytics)[^>]*>.*?</noscript\s*>"""
-FORUM_LINK = r"""(?is)<a\s[^>]*href=["'][^"'>]*(?:posting|tradegold|memberlist|search|ucp|mcp)[.]php[^>]*>.*?</a\s*>"""
+FIRST_RULE = "CASE " + " ".join(
+    f"WHEN {t} THEN {n}" for n, t in removable("tag", "markup", "body").items()) + " END"
+# Text that is not markup comes first in a search for elements, so that what is in it is passed over.
+MASKED = "|".join(["<!--.*?-->", *RAW])
+NOSCRIPT = rf"(?is){MASKED}|<noscript[^>]*>.*?</noscript\s*>"
+PIXEL = r"""(?is)^<noscript.*<img[^>]*\ssrc=["']?[^"'>]*(?:matomo|analytics|doubleclick|google-analytics)"""
+FORUM_LINK = rf"(?is){MASKED}|<a\s[^>]*>.*?</a\s*>"
+FORUM = r"""(?is)^<a\s[^>]*href=["'][^"'>]*(?:posting|tradegold|memberlist|search|ucp|mcp)[.]php"""
 
 
-def removal_of(pages: str, items: str) -> str:
-    """Pages without link, script, noscript and link elements, and how many went."""
-    ruled = f"""(SELECT page_id, pos, item, rule_no FROM (SELECT *, {FIRST_RULE} AS rule_no FROM (
-        SELECT *, {rx('item', '(?is)^<script[^>]*>(.*)</script', 1)} AS body FROM ({tags_of(items)}))))"""
-    part = spliced(pages, items, "CASE WHEN r.rule_no IS NULL THEN i.item ELSE '' END",
-                   f"LEFT JOIN {ruled} r ON r.page_id = g.page_id AND r.pos = g.pos")
-    part = part.replace("AS new_html FROM", "AS t1, count(r.rule_no) AS n1 FROM", 1)
-    return f"""SELECT page_id, {sub('t2', FORUM_LINK, '')} AS new_html,
-        n1 + len(regexp_extract_all(t1, {q(NOSCRIPT)})) + len(regexp_extract_all(t2, {q(FORUM_LINK)})) AS removed
-        FROM (SELECT *, {sub('t1', NOSCRIPT, '')} AS t2 FROM ({part}))"""
+def without(text: str, pattern: str, gone: str) -> str:
+    """(rest, number): the text without those matches of ``pattern`` for which ``gone`` holds on x."""
+    return f"""(SELECT {{'rest': array_to_string(list_transform(range(1, len(g) + 1), lambda k: g[k] || coalesce(
+          CASE WHEN d[k] THEN '' ELSE i[k] END, '')), ''), 'n': len(list_filter(d, lambda z: z))}}
+        FROM (SELECT g, i, list_transform(i, lambda x: coalesce({gone}, false)) AS d FROM (
+          SELECT string_split_regex({text}, {q(pattern)}) AS g, regexp_extract_all({text}, {q(pattern)}) AS i)))"""
+
+
+def removal_of(pages: str) -> str:
+    """Pages after the rules in their order, and how many elements went."""
+    rules = removable(
+        f"lower({rx('x', '^<([A-Za-z][A-Za-z0-9]*)', 1)})",
+        rx("x", "(?is)^" + TAG),
+        rx("x", "(?is)^<script[^>]*>(.*)</script", 1),
+    )
+    early = " OR ".join(f"({t})" for n, t in rules.items() if n < 10)
+    late = " OR ".join(f"({t})" for n, t in rules.items() if n > 10)
+    a = f"SELECT page_id, {without('html', ITEM, early)} AS a FROM {pages}"
+    b = f"SELECT *, {without('a.rest', NOSCRIPT, has('x', PIXEL))} AS b FROM ({a})"
+    c = f"SELECT *, {without('b.rest', ITEM, late)} AS c FROM ({b})"
+    d = f"SELECT *, {without('c.rest', FORUM_LINK, has('x', FORUM))} AS d FROM ({c})"
+    return f"SELECT page_id, d.rest AS new_html, a.n + b.n + c.n + d.n AS removed FROM ({d})"
+
+
+HEAD_START = r"(?is)^(\s|<!--.*?-->|<!doctype[^>]*>|<html[^>]*>)*<(head|link|meta|script|style|title|base)[\s/>]"
 
 
 def styled(text: str) -> str:
+    before = f"""regexp_replace({text}, '(?i)({{0}})', {q(STYLE + chr(92) + '1')})"""
     return f"""CASE WHEN contains({text}, '/* Minimal fallback CSS for offline browsing */') THEN {text}
-        ELSE regexp_replace({text}, '(?i)(</head\\s*>)', {q(STYLE + chr(92) + '1')}) END"""
+        WHEN {has(text, '(?i)</head\\s*>')} THEN {before.replace('{0}', '</head\\s*>')}
+        WHEN NOT {has(text, HEAD_START)} THEN {text}
+        WHEN {has(text, '(?i)<body[\\s>]')} THEN {before.replace('{0}', '<body[\\s>]')}
+        ELSE {q(STYLE)} || {text} END"""
 
 
 def scripts_cleaned(text: str) -> str:
@@ -340,11 +369,17 @@ CTES: dict[str, str] = {
         SEMI JOIN files f ON f.target_domain = m.target_domain AND f.path = 'images/' || m.filename""",
     "stored": """SELECT target_domain, path, octet_length(encode(html)) AS length FROM site WHERE page_id % 10 <> 7
         UNION ALL SELECT target_domain, path, octet_length(encode(css)) FROM sheets""",
+    "everything": """SELECT target_domain, path, octet_length(encode(html)) AS length FROM site
+        UNION ALL SELECT target_domain, path, octet_length(encode(css)) FROM sheets UNION ALL SELECT target_domain, path, length FROM files""",
     "seeds": "SELECT target_domain, arg_min(url, page_id) AS url FROM site GROUP BY ALL",
     "fetch_log": "SELECT *, length(url) % 6 AS status FROM media",
     "reach": """SELECT target_domain, url, 0 AS depth FROM seeds UNION
         SELECT r.target_domain, e.dst_url, r.depth + 1 FROM reach r
         JOIN edges e ON e.target_domain = r.target_domain AND e.src_url = r.url WHERE r.depth <= 40""",
+    "walk": """SELECT target_domain, url, 0 AS depth FROM seeds UNION
+        SELECT w.target_domain, e.dst_url, w.depth + 1 FROM walk w
+        JOIN (SELECT * FROM edges ANTI JOIN (SELECT target_domain, url AS src_url FROM site WHERE page_id % 10 = 7) g
+          USING (target_domain, src_url)) e ON e.target_domain = w.target_domain AND e.src_url = w.url WHERE w.depth < 4""",
     "reached": "SELECT target_domain, url, min(depth) AS depth FROM reach GROUP BY ALL",
     "status": f"""SELECT r.*, CASE WHEN s.path IS NULL THEN 'missing' ELSE 'present' END AS status FROM (
         SELECT *, {local('url')} AS path FROM reached WHERE depth <= 4) r
@@ -353,7 +388,7 @@ CTES: dict[str, str] = {
         FROM (SELECT *, {sub('raw', '[?].*$', '')} AS bare FROM ({attrs_of('tags', dict.fromkeys(('href', 'src'), 'link|script|img'))})) a
         JOIN url_map m ON m.target_domain = a.target_domain AND m.url = a.bare""",
     "media7": media_of("(SELECT target_domain, raw FROM media_attrs UNION ALL SELECT target_domain, raw FROM css_values)",
-                       is_media("raw", ["7.png"]).replace("[.]7.png", "7[.]png")),
+                       is_media("raw", ["7.png"])),
     "map7": f"""SELECT m.* FROM (SELECT *, {basename('url')} AS filename FROM media7) m
         SEMI JOIN files f ON f.target_domain = m.target_domain AND f.path = 'images/' || m.filename""",
     "edits7": f"""SELECT a.page_id, a.pos, a.attr, {up('a.path')} || 'images/' || m.filename AS value
@@ -384,7 +419,7 @@ CTES: dict[str, str] = {
           o.stack || [o.raw], CASE WHEN stop IS NULL AND c.place IS NULL THEN 1 ELSE 0 END
         FROM (SELECT i.target_domain, i.path, i.k, i.stack, i.text AS raw, i.goal,
             CASE WHEN regexp_matches(i.text, '^https?://') THEN '/* External @import "' || i.text || '" stripped for offline use */'
-                 WHEN s.path IS NULL THEN '/* @import "' || i.text || '" - FILE NOT FOUND */' || chr(10)
+                 WHEN s.path IS NULL OR i.text LIKE '../../%' THEN '/* @import "' || i.text || '" - FILE NOT FOUND */' || chr(10)
                  WHEN list_contains(i.stack, i.text) THEN '/* @import "' || i.text || '" - CIRCULAR REFERENCE SKIPPED */' || chr(10)
                  WHEN len(i.stack) >= 10 THEN '/* @import "' || i.text || '" - MAX DEPTH REACHED */' || chr(10) END AS stop
           FROM (SELECT *, 's/' || replace(text, './', '') AS goal FROM inl WHERE is_import) i
@@ -401,7 +436,7 @@ CTES: dict[str, str] = {
         f"SELECT target_domain, path, '{n}' AS issue FROM checked WHERE {n}"
         for n in ("missing_head", "missing_body", "empty_body", "has_binary_content")
     ),
-    "cleaned": removal_of("site", "items"),
+    "cleaned": removal_of("site"),
     "steps": f"""SELECT page_id, html, c1, 'HTML validation failed: ' || array_to_string(list_filter([
           CASE WHEN {has('html', '(?i)<body[^>]*>')} THEN 'missing <body>' END,
           CASE WHEN {has('html', '(?i)</body>')} THEN 'missing </body>' END], lambda x: x IS NOT NULL), ', ') AS e3, {sub('html', 'https://img[.]example[.]org', 'img')} AS t2,
@@ -445,7 +480,7 @@ def sql(final: str) -> str:
     if not order:
         return final
     parts = ",\n".join(
-        f"{n} AS {'' if n in ('reach', 'inl') else 'MATERIALIZED '}({CTES[n]})" for n in order
+        f"{n} AS {'' if n in ('reach', 'inl', 'walk') else 'MATERIALIZED '}({CTES[n]})" for n in order
     )
     return f"WITH RECURSIVE {parts}\n{final}"
 
@@ -458,8 +493,8 @@ def mirrored(pages: str) -> str:
 
 def cleaned_after(pages: str) -> str:
     linked = mirrored(pages)
-    removal = removal_of("linked", "linked_items")
-    return f"""WITH linked AS MATERIALIZED {linked}, linked_items AS MATERIALIZED ({items_of('linked')}),
+    removal = removal_of("linked")
+    return f"""WITH linked AS MATERIALIZED {linked},
         gone AS MATERIALIZED ({removal})
         SELECT page_id, new_html, removed, removed > 0 OR new_html <> (SELECT html FROM site s WHERE s.page_id = g.page_id) AS changed
         FROM (SELECT page_id, removed, {scripts_cleaned(styled('new_html'))} AS new_html FROM gone) g"""
@@ -526,7 +561,7 @@ RAW_FINALS: dict[str, str] = {
         SELECT page_id, 1 AS step_no, 'drop head end' AS step, 'HTML validation failed: missing </head>' AS error FROM steps WHERE c1 <> html
         UNION ALL SELECT page_id, 3, 'drop body', e3 FROM steps WHERE c3 <> t2)""",
     "media_inventory": "SELECT * FROM files",
-    "output_inventory": "SELECT * FROM stored",
+    "output_inventory": "SELECT * FROM everything",
     # URL functions
     "default_scheme": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://' || regexp_replace(url, '^https?://', '') ELSE url END AS full_url FROM pages""",
     "host_names": f"SELECT page_id, {host('url')} AS host, {host('url')} AS noisy_host FROM pages",
@@ -583,7 +618,13 @@ RAW_FINALS: dict[str, str] = {
     "crawl_stats": """SELECT target_domain, status, count(*) AS urls FROM status GROUP BY GROUPING SETS ((target_domain, status), (status))""",
     "resume_list": "SELECT target_domain, url, depth, path FROM status WHERE status = 'missing'",
     "politeness_schedule": """SELECT target_domain, url, depth,
-        3000 * (row_number() OVER (PARTITION BY target_domain ORDER BY depth, url) - 1) AS start_ms FROM reached WHERE depth <= 5""",
+        3000 * (row_number() OVER (PARTITION BY target_domain ORDER BY depth, url) - 1) AS start_ms FROM status WHERE status = 'missing'""",
+    "crawl_figures": """SELECT target_domain, count(*) AS visited, count(*) FILTER (depth <= 4 AND status = 'present') AS cached,
+        count(*) FILTER (status = 'missing' AND length(url) % 5 <> 0 AND length(url) % 6 = 0) AS downloaded,
+        count(*) FILTER (status = 'missing' AND length(url) % 5 <> 0 AND length(url) % 6 <> 0) AS failed
+        FROM (SELECT * FROM reached WHERE depth <= 5) LEFT JOIN (SELECT target_domain, url, status FROM status) USING (target_domain, url) GROUP BY ALL""",
+    "resume_plan": f"""SELECT target_domain, url, depth, path FROM (SELECT *, {local('url')} AS path FROM (
+        SELECT target_domain, url, min(depth) AS depth FROM walk GROUP BY ALL)) ANTI JOIN stored USING (target_domain, path)""",
     "download_batches": "SELECT *, ntile(4) OVER (PARTITION BY target_domain ORDER BY url) AS batch FROM media",
     # link rewriting
     "url_map": "SELECT target_domain, url, filename, shared FROM url_map",
@@ -606,8 +647,8 @@ RAW_FINALS: dict[str, str] = {
     # offline cleaning
     "removal_candidates": f"""SELECT page_id, rule_no, item AS element FROM (SELECT page_id, item, {FIRST_RULE} AS rule_no FROM (
           SELECT *, {rx('item', '(?is)^<script[^>]*>(.*)</script', 1)} AS body FROM tags)) WHERE rule_no IS NOT NULL
-        UNION ALL SELECT page_id, 10, unnest(regexp_extract_all(html, {q(NOSCRIPT)})) FROM site
-        UNION ALL SELECT page_id, 16, unnest(regexp_extract_all(html, {q(FORUM_LINK)})) FROM site""",
+        UNION ALL SELECT page_id, 10, x FROM (SELECT page_id, unnest(regexp_extract_all(html, {q(NOSCRIPT)})) AS x FROM site) WHERE {has('x', PIXEL)}
+        UNION ALL SELECT page_id, 16, x FROM (SELECT page_id, unnest(regexp_extract_all(html, {q(FORUM_LINK)})) AS x FROM site) WHERE {has('x', FORUM)}""",
     "removed_elements": "SELECT page_id, new_html, removed FROM cleaned",
     "fallback_style": f"SELECT page_id, {styled('html')} AS new_html FROM site",
     "cleaned_scripts": f"SELECT page_id, {scripts_cleaned('html')} AS new_html FROM site",
@@ -636,7 +677,7 @@ RAW_FINALS: dict[str, str] = {
     # report
     "site_totals": """SELECT *, CASE WHEN bytes >= 1073741824 THEN printf('%.2f GB', bytes / 1073741824) WHEN bytes >= 1048576 THEN printf('%.2f MB', bytes / 1048576)
         WHEN bytes >= 1024 THEN printf('%.2f KB', bytes / 1024) ELSE bytes || ' bytes' END AS size FROM (
-        SELECT target_domain, count(*) AS files, sum(length)::BIGINT AS bytes, coalesce(any_value(f.failed), 0) AS failed FROM stored
+        SELECT target_domain, count(*) AS files, sum(length)::BIGINT AS bytes, coalesce(any_value(f.failed), 0) AS failed FROM everything
         LEFT JOIN (SELECT target_domain, count(*) AS failed FROM fetch_log WHERE status <> 0 GROUP BY ALL) f USING (target_domain) GROUP BY ALL)""",
     "failed_urls": "SELECT target_domain, url FROM fetch_log WHERE status <> 0",
     "site_durations": "SELECT target_domain, (max(page_id) - min(page_id)) * 60 AS seconds FROM site GROUP BY ALL",
@@ -647,8 +688,7 @@ RAW_FINALS: dict[str, str] = {
     "stream_issue_counts": """SELECT w AS window_start, issue, count(*) AS pages FROM (
         SELECT time_bucket(INTERVAL 10 minutes, make_timestamp(1704067200000000 + page_id * 60000000)) AS w, issue FROM (
           UNPIVOT (SELECT page_id, missing_head, missing_body, empty_body, has_binary_content FROM checked)
-          ON missing_head, missing_body, empty_body, has_binary_content INTO NAME issue VALUE hit) WHERE hit)
-        WHERE w + INTERVAL 20 minutes <= (SELECT make_timestamp(1704067200000000 + max(page_id) * 60000000) FROM pages) GROUP BY ALL""",
+          ON missing_head, missing_body, empty_body, has_binary_content INTO NAME issue VALUE hit) WHERE hit) GROUP BY ALL""",
 }
 RAW_FINALS["cached_urls"], RAW_FINALS["missing_urls"] = (
     f"""SELECT target_domain, path, url FROM (SELECT *, {local('url')} AS path FROM (SELECT DISTINCT target_domain, dst_url AS url FROM edges))
@@ -656,9 +696,7 @@ RAW_FINALS["cached_urls"], RAW_FINALS["missing_urls"] = (
     for how in ("SEMI", "ANTI")
 )
 # whole plans
-TOTALS = RAW_FINALS["site_totals"].replace("FROM stored", """FROM (SELECT target_domain, octet_length(encode(html)) AS length FROM site
-    UNION ALL SELECT target_domain, octet_length(encode(css)) FROM sheets UNION ALL SELECT target_domain, length FROM files)""")
-RAW_FINALS["mirrored_totals"] = TOTALS
+RAW_FINALS["mirrored_totals"] = RAW_FINALS["site_totals"]
 
 ORACLES: dict[str, str] = {name: sql(final) for name, final in RAW_FINALS.items()}
 ORACLES["mirrored_pages"] = with_parts(cleaned_after("ext_pages"))

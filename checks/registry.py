@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from functools import wraps
+from functools import reduce, wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from checks.site_fixture import PAGES, built, raw_pages, site_pages, site_sheets
+from checks.site_fixture import PAGES, built, derived, raw_pages, site_pages, site_sheets
 from webloom.functions import html as H
 from webloom.functions import urls as U
 from webloom.functions.binding import pin
@@ -108,6 +108,16 @@ def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every saved page and stylesheet, and the media that arrived."""
+    parts = [
+        pages_with_path(spark, sf_dir).select("target_domain", "path", F.octet_length("html").alias("length")),
+        site_sheets(spark, sf_dir).select("target_domain", "path", F.octet_length("css").alias("length")),
+        media_files(spark, sf_dir),
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("length", F.col("length").cast("bigint"))
+
+
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of every site."""
     first = F.min_by("url", "page_id").alias("url")
@@ -172,9 +182,8 @@ def token_round_trip(spark, sf_dir):
         .agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
         .select("page_id", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("joined"))
     )
-    return pages.join(joined, "page_id").select(
-        "page_id", (F.col("joined") == F.col("html")).alias("same")
-    )
+    same = F.coalesce("joined", F.lit("")) == F.coalesce("html", F.lit(""))
+    return pages.join(joined, "page_id", "left").select("page_id", same.alias("same"))
 
 
 @query
@@ -200,7 +209,7 @@ def media_inventory(spark, sf_dir):
 
 @query
 def output_inventory(spark, sf_dir):
-    return stored_files(spark, sf_dir)
+    return all_files(spark, sf_dir)
 
 
 # --- URL functions --------------------------------------------------------------------------
@@ -531,11 +540,35 @@ def resume_list(spark, sf_dir):
 
 @query
 def politeness_schedule(spark, sf_dir):
-    return crawl.politeness_schedule(reached(spark, sf_dir, MAX_DEPTH), wait_ms=3000).select(
+    """A request waits for the one before it; only what is missing is asked for."""
+    return crawl.politeness_schedule(resume_list(spark, sf_dir), wait_ms=3000).select(
         "target_domain", "url", "depth", "start_ms"
     )
 
 
+@query
+def crawl_figures(spark, sf_dir):
+    found = cut_lineage(reached(spark, sf_dir, MAX_DEPTH))
+    log = found.select("target_domain", "url", (F.length("url") % 6).alias("status"))
+    log = log.where(F.length("url") % 5 != 0)
+    return crawl.crawl_figures(found, stored_files(spark, sf_dir), log)
+
+
+@query
+def resume_plan(spark, sf_dir):
+    """What the plan of a resumed run still has to fetch."""
+    plan = mirror.Resumed(
+        pages_with_path(spark, sf_dir).where(F.col("page_id") % 10 != 7),
+        site_sheets(spark, sf_dir),
+        media_files(spark, sf_dir),
+        seeds(spark, sf_dir),
+        MAX_DEPTH,
+        PATTERNS,
+        DOMAINS,
+    )
+    return plan.missing.select("target_domain", "url", "depth", "path")
+
+
 @query
 def download_batches(spark, sf_dir):
     return crawl.download_batches(media_set(spark, sf_dir), parallel=4)
@@ -779,7 +812,7 @@ def user_function_step(spark, sf_dir):
 
 @query
 def site_totals(spark, sf_dir):
-    return report.site_totals(stored_files(spark, sf_dir), fetch_log(spark, sf_dir))
+    return report.site_totals(all_files(spark, sf_dir), fetch_log(spark, sf_dir))
 
 
 @query
@@ -855,8 +888,7 @@ def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived site pages arriving as a stream, one a minute."""
     schema = raw_pages(spark, sf_dir).schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
-    arriving.createOrReplaceTempView("pages")
-    return built(spark.sql(PAGES)).withColumn("ts", _arrival(None))
+    return built(derived(spark, arriving, PAGES)).withColumn("ts", _arrival(None))
 
 
 def _stream_folders(spark: SparkSession) -> tuple[str, str]:
@@ -868,8 +900,8 @@ def _stream_folders(spark: SparkSession) -> tuple[str, str]:
 def stream_issue_counts(spark, sf_dir):
     out, state = _stream_folders(spark)
     counts = jobs.issue_counts(page_stream(spark, sf_dir))
-    jobs.start_append(counts, out, state).awaitTermination()
-    return spark.read.parquet(out)
+    jobs.start_counts(counts, out, state).awaitTermination()
+    return jobs.current_counts(spark, out)
 
 
 @query

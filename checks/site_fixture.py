@@ -8,10 +8,11 @@ the site, so the graph is as deep as the logarithm of the site and grows with th
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.functions.binding import pin
-from webloom.sources.files import spread
 
 
 def site(n: str) -> str:
@@ -26,7 +27,8 @@ def url(n: str) -> str:
 PAGES = f"""
 SELECT page_id, {url('page_id')} AS url, {site('page_id')} AS target_domain,
   CASE WHEN page_id % 17 = 0 THEN replace(replace(body, '<head>', ''), '</head>', '')
-       WHEN page_id % 19 = 0 THEN concat('<html><head></head><body><script>var a=1;</script> ', page_id % 10, ' </body></html>')
+       WHEN page_id % 19 = 0 THEN replace(replace(body, '<body>', concat('<body> ', page_id % 10, ' <template>')), '</body>', '</template></body>')
+       WHEN page_id % 31 = 0 THEN replace(body, '</head>', '')
        WHEN page_id % 23 = 0 THEN concat(body, chr(127))
        WHEN page_id % 29 = 0 THEN replace(replace(body, '<body>', ''), '</body>', '')
        ELSE body END AS html
@@ -46,6 +48,11 @@ FROM (
     '<img src="https://img.example.org/p/', page_id % 40, '.PNG"><img data-src="/img/l', page_id % 7, '.jpg">',
     CASE WHEN page_id % 6 = 3 THEN '<noscript><img alt=x src="https://matomo.example.org/m.php?a=1"></noscript>' ELSE '' END,
     CASE WHEN page_id % 6 = 4 THEN '<noscript><p>on</p></noscript>' ELSE '' END,
+    CASE WHEN page_id % 8 = 5 THEN concat('<script>document.write(''<a href="search.php">x</a>'');go()</script>',
+      '<!-- <a href="ucp.php">c</a><noscript><img src="https://matomo.example.org/c.php"></noscript> -->',
+      '<textarea><noscript><img src="https://matomo.example.org/t.php"></noscript><a href="mcp.php">t</a></textarea>') ELSE '' END,
+    CASE WHEN page_id % 9 = 4 THEN concat('<noscript><link rel="stylesheet" href="https://use.fontawesome.com/a.css">',
+      '<img src="https://matomo.example.org/n.php"></noscript>') ELSE '' END,
     '<a href="', replace({url('left_id')}, '&', '&amp;'), '">next</a>',
     '<a class=n href="', replace({url('right_id')}, '&', '&amp;'), '#c">skip</a>',
     '<a href="/w/index.php?title=Special:Log&amp;action=edit">edit</a><a href="../up/./x">up</a>',
@@ -66,6 +73,8 @@ SELECT {site('page_id')} AS target_domain, concat('s/', page_id, '.css') AS path
     CASE WHEN page_id % 5 = 0 THEN '@import url("https://fonts.googleapis.com/css?family=X");' ELSE '' END,
     CASE WHEN page_id % 7 = 0 THEN '@import "https://other.example.com/x.css";' ELSE '' END,
     CASE WHEN page_id % 6 = 1 THEN '@import ''gone.css'';' ELSE '' END,
+    CASE WHEN page_id % 10 = 3 THEN '@import "../../s/0.css";' ELSE '' END,
+    CASE WHEN page_id % 12 = 5 THEN concat('h5{{content:"', chr(1), '"}}') ELSE '' END,
     CASE WHEN page_id % 18 = 9 THEN concat('@import "', page_id, '.css";') ELSE '' END,
     CASE WHEN page_id % 3 = 0 AND page_id % 48 < 45 THEN concat('@import "./', page_id + 3, '.css";')
          WHEN page_id % 3 <> 0 THEN concat('@import url( "', page_id % 75 + 75 * (2 * CAST(floor(page_id / 75) AS BIGINT) + 1), '.css" );')
@@ -80,12 +89,18 @@ FROM pages
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
 def _from_pages(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    raw_pages(spark, sf_dir).createOrReplaceTempView("pages")
-    return built(spark.sql(text))
+    return built(derived(spark, raw_pages(spark, sf_dir), text))
+
+
+def derived(spark: SparkSession, pages: DataFrame, text: str) -> DataFrame:
+    """The SQL over these pages; their view has a name of its own."""
+    view = f"pages_{uuid.uuid4().hex}"
+    pages.createOrReplaceTempView(view)
+    return spark.sql(text.replace("FROM pages", f"FROM {view}"))
 
 
 def built(site: DataFrame) -> DataFrame:

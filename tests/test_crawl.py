@@ -83,8 +83,48 @@ def test_politeness_with_jitter(spark):
     assert rows[0].start_ms == 0 and all(500 <= s <= 1500 for s in steps)
 
 
-def test_lookup_with_one_popular_key(spark):
-    left = spark.range(1000).select(F.lit("k").alias("k"), F.col("id"))
-    right = spark.createDataFrame([("k", 1), ("l", 2)], "k string, v int")
-    assert joins.lookup(left, right, ["k"], ["id"]).count() == 1000
-    assert joins.lookup(left, right.where("k = 'l'"), ["k"], ["id"], how="left_anti").count() == 1000
+def test_a_round_moves_only_what_it_finds(spark):
+    """Frontier, edges and all parts of what was seen keep their layout: one exchange, of the found URLs."""
+    from webloom.session import cut_lineage
+
+    def placed(rows):
+        df = spark.createDataFrame(rows, "target_domain string, url string, dst_url string")
+        return cut_lineage(df.repartition(2, *crawl.NODE).sortWithinPartitions(*crawl.NODE), keep_layout=True)
+
+    edges = placed([("d", a, b) for a, b in EDGES])
+    parts = [placed([("d", "s", "")]), placed([("d", "b", "")])]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = crawl.newly_found(parts[1].select(*crawl.NODE), edges, parts, 1, 2)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 3
+        assert {r.url for r in found.collect()} == {"c"}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_chain(spark):
+    """Many rounds, so that parts of what was seen are merged."""
+    edges = [("d", f"n{k}", f"n{k + 1}") for k in range(9)] + [("d", f"n{k}", "n0") for k in range(9)]
+    rows = crawl.reachable(
+        spark.createDataFrame(edges, "target_domain string, src_url string, dst_url string"),
+        spark.createDataFrame([("d", "n0")], "target_domain string, url string"),
+    ).collect()
+    assert {r.url: r.depth for r in rows} == {f"n{k}": k for k in range(10)}
+
+
+def test_figures(spark):
+    reached = spark.createDataFrame(
+        [("d", "https://d/a", 0, True), ("d", "https://d/b", 1, True), ("d", "https://d/c", 1, True),
+         ("d", "https://d/e", 1, True), ("d", "https://d/f", 2, False)],
+        "target_domain string, url string, depth int, processed boolean",
+    )
+    stored = spark.createDataFrame([("d", "a.html")], "target_domain string, path string")
+    log = spark.createDataFrame(
+        [("d", "https://d/b", 0), ("d", "https://d/c", 4), ("d", "https://d/c", 5)],
+        "target_domain string, url string, status int",
+    )
+    row = crawl.crawl_figures(reached, stored, log).first()
+    assert (row.visited, row.cached, row.downloaded, row.failed) == (5, 1, 1, 1)

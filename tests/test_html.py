@@ -72,3 +72,12 @@ def test_tag_with_very_many_attributes(one):
     tag = "<a " + " ".join(f'data-{n}="{n}"' for n in range(20000)) + ' href="/x">'
     assert one(lambda t: H.attribute(H.start_tag(t), "href"), [tag]) == ["/x"]
     assert one(lambda t: F.size(H.items(t)), [tag * 2]) == [2]
+
+
+def test_references_with_any_number_of_digits(one):
+    texts = ["&#00000065;&#x0000041;", "&#x110000;&#99999999999999999999;", "&#0;", "&#x" + "0" * 40 + "e9;"]
+    assert one(H.decode_entities, texts) == ["AA", "��", "�", "é"]
+
+
+def test_unicode_blanks_are_no_text(one):
+    assert one(H.visible_text, ["<p>　  </p>", "<p>\x1c x \xa0</p>"]) == ["", "x"]

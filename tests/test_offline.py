@@ -35,6 +35,40 @@ def test_nested_and_unclosed(page_table):
     assert [r.new_html for r in rows] == ["<noscript>text</noscript>", "open <a href='/x'>next</a>"]
 
 
+def test_text_that_is_not_markup_stays(page_table):
+    kept = [
+        """<script>document.write('<a href="search.php">x</a>');go()</script>""",
+        '<!-- <a href="search.php">c</a> <noscript><img src="//matomo.org/x"></noscript> -->',
+        '<textarea><noscript><img src="//matomo.org/x"></noscript><a href="ucp.php">t</a></textarea>',
+        "<title><a href=mcp.php></title>",
+    ]
+    gone = '<a href="search.php">a <!-- </a> --><script>"</a>"</script>b</a>'
+    rows = offline.remove_elements(page_table(("a.html", "".join(kept)), ("b.html", gone))).orderBy("page_id").collect()
+    assert rows[0].new_html == "".join(kept) and rows[0].removed == 0
+    assert rows[1].new_html == "" and rows[1].removed == 1
+    assert offline.removal_candidates(page_table(("a.html", "".join(kept)))).count() == 0
+
+
+def test_nested_elements_count_once(page_table):
+    nested = "<noscript><link href='https://use.fontawesome.com/a.css'><img src='//matomo.org/x'></noscript>"
+    earlier = "<noscript><link rel=preconnect><img src='//matomo.org/x'></noscript>"
+    rows = offline.remove_elements(page_table(("a.html", nested), ("b.html", earlier))).orderBy("page_id").collect()
+    assert [(r.new_html, r.removed) for r in rows] == [("", 1), ("", 2)]
+
+
+def test_style_without_an_end_of_head(one):
+    style = offline.FALLBACK_STYLE
+    cases = {
+        "<!DOCTYPE html><html><head><title>t</title><body>x": f"<!DOCTYPE html><html><head><title>t</title>{style}<body>x",
+        "<meta charset=utf-8><BODY class=a>x": f"<meta charset=utf-8>{style}<BODY class=a>x",
+        "<link rel=icon href=x>": f"{style}<link rel=icon href=x>",
+        "<body>x": "<body>x",
+        "<p>x</p>": "<p>x</p>",
+        "": "",
+    }
+    assert one(offline.add_fallback_style, list(cases)) == list(cases.values())
+
+
 def test_each_rule_is_reported(page_table):
     rows = offline.removal_candidates(page_table(("p.html", "".join(GONE)))).collect()
     assert len(rows) == len(GONE) and {r.element for r in rows} == set(GONE)

@@ -52,3 +52,11 @@ def test_plan_does_not_grow_with_steps(page_table):
         return len(done.where("steps_applied > 0")._jdf.queryExecution().optimizedPlan().toString())
 
     assert size(8) < 2.5 * size(4)
+
+
+def test_a_sheet_of_blanks_is_empty(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a{}", "\xa0　\n"), ("a{}", " b "), ("a{}", "")], "old string, new string")
+    found = [r.e for r in df.select(rewrite.css_error(F.col("old"), F.col("new")).alias("e")).collect()]
+    assert found == ["CSS content is empty", None, "CSS content is empty"]

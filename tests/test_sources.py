@@ -17,9 +17,11 @@ def test_folder_scan(spark, tmp_path):
     pages = {r.path: r for r in files.read_pages(spark, str(site), "d.org").collect()}
     assert {p: r.html for p, r in pages.items()} == {"a.html": "é�", "sub/b.htm": "xy"}
     assert pages["sub/b.htm"].url == "https://d.org/sub/b.htm"
-    assert [r.css for r in files.read_stylesheets(spark, str(site), "d.org").collect()] == ["p{}"]
+    (site / "no rules@x%2F.css").write_text("")
+    sheets = {r.path: r.css for r in files.read_stylesheets(spark, str(site), "d.org").collect()}
+    assert sheets == {"c.css": "p{}", "no rules@x%2F.css": ""}
     assert {(r.path, r.length) for r in files.inventory(spark, str(site)).collect()} == {
-        ("a.html", 5), ("sub/b.htm", 3), ("c.css", 3), ("d.txt", 2),
+        ("a.html", 5), ("sub/b.htm", 3), ("c.css", 3), ("d.txt", 2), ("empty.html", 0), ("no rules@x%2F.css", 0),
     }
 
 

@@ -27,6 +27,27 @@ def test_imports(sheet_table):
     assert css(done, "plain.css", "inlined") == "p{}"
 
 
+def test_paths_above_the_site_and_empty_sheets(sheet_table):
+    sheets = sheet_table(
+        ("s/a.css", '@import "../../b.css";@import "../b.css";@import "../x/../../b.css";@import "../none.css";'),
+        ("b.css", "b{}"),
+        ("none.css", ""),
+    )
+    done = stylesheets.inline_imports(sheets)
+    assert css(done, "s/a.css", "inlined") == (
+        '/* @import "../../b.css" - FILE NOT FOUND */\n/* INLINED: ../b.css */\nb{}'
+        '/* @import "../x/../../b.css" - FILE NOT FOUND */\n/* INLINED: ../none.css */\n'
+    )
+
+
+def test_nul_characters_stay(sheet_table):
+    from pyspark.sql import functions as F
+
+    text = stylesheets.absolute_to_relative(F.col("css"), F.lit("../"))
+    df = sheet_table(("s/a.css", 'x{y:"\0z"} a{b:url("/i.png")}'))
+    assert df.select(text.alias("t")).first().t == 'x{y:"\0z"} a{b:url("../i.png")}'
+
+
 def test_depth_limit(sheet_table):
     chain = [(f"{n}.css", f'@import "{n + 1}.css";r{n}{{}}') for n in range(14)] + [("14.css", "end{}")]
     done = stylesheets.inline_imports(sheet_table(*chain))

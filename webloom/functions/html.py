@@ -114,11 +114,15 @@ def drop_attribute(tag: Column, name: str) -> Column:
     ).otherwise(tag)
 
 
-_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_ENTITY = r"&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+# White space at the ends of a text, as Unicode has it, and the four separators U+001C to U+001F.
+BLANK = r"[\s\x{1C}-\x{1F}]"
 
 
-def _character_sql(code: str) -> str:
-    """Character of a code point; U+FFFD for one outside Unicode."""
+def _character_sql(digits: str, base: int) -> str:
+    """Character of a code point; U+FFFD for one outside Unicode.  Any number of leading zeros."""
+    code = f"""CASE WHEN length(ltrim('0', {digits})) > 7 THEN 1114112
+        ELSE CAST(conv(concat('0', ltrim('0', {digits})), {base}, 10) AS BIGINT) END"""
     return f"""transform(array({code}), c -> decode(unhex(lpad(hex(
         CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111 THEN c ELSE 65533 END
         ), 8, '0')), 'UTF-32'))[0]"""
@@ -131,8 +135,8 @@ def _decode_sql() -> str:
     entity = sql_text(_ENTITY)
     char = f"""CASE
         WHEN r LIKE '#x%' OR r LIKE '#X%'
-          THEN {_character_sql("CAST(conv(substr(r, 3), 16, 10) AS BIGINT)")}
-        WHEN r LIKE '#%' THEN {_character_sql("CAST(substr(r, 2) AS BIGINT)")}
+          THEN {_character_sql("substr(r, 3)", 16)}
+        WHEN r LIKE '#%' THEN {_character_sql("substr(r, 2)", 10)}
         ELSE coalesce(element_at(str_to_map({table}, '\n', '\t'), r), concat('&', r, ';')) END"""
     return f"""CASE WHEN contains(v, '&') THEN array_join(zip_with(
         split(v, {entity}, -1),
@@ -162,6 +166,6 @@ def visible_text(markup: Column) -> Column:
     nodes = F.split(bare, rf"(?is){START_TAG}|</[A-Za-z][^>]*>|<[!?][^>]*>", -1)
     trimmed = F.transform(
         nodes,
-        lambda n: F.regexp_replace(decode_entities(n), r"^[\s\x{A0}\x{85}]+|[\s\x{A0}\x{85}]+$", ""),
+        lambda n: F.regexp_replace(decode_entities(n), rf"(?U)\A{BLANK}+|{BLANK}+\z", ""),
     )
     return F.array_join(F.filter(trimmed, lambda n: n != ""), " ")

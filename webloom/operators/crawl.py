@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,37 +35,55 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 0) -> DataFra
     """Breadth-first search of all sites at once: (target_domain, url, depth, processed).
 
     ``max_depth`` 0 has no limit; otherwise URLs one level deeper are seen but not processed.
-    Edges are partitioned and sorted by their source once and kept in a checkpoint, so a round
-    moves only its frontier; each round writes only the URLs it adds.  ``pin`` keeps the conditions
-    that made the edges from being tested again on every frontier.
+    Edges and URLs seen are partitioned and sorted alike and keep their layout in checkpoints, so a
+    round shuffles only the URLs it finds.  The parts of what is seen are merged when they are about as
+    large as one another, so each URL moves as often as the number of rounds has binary digits.
+    ``pin`` keeps the conditions that made the edges from being tested again on every frontier.
     """
     width = shuffle_width(edges.sparkSession)
-    outgoing = cut_lineage(
-        pin(edges.select("target_domain", "src_url", "dst_url"), url=F.col("src_url"))
-        .drop("src_url")
-        .repartition(width, *NODE)
-        .sortWithinPartitions(*NODE),
-        keep_layout=True,
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return cut_lineage(rows.sortWithinPartitions(*NODE), keep_layout=True)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return kept(rows.repartition(width, *NODE))
+
+    outgoing = placed(
+        pin(edges.select("target_domain", "src_url", "dst_url"), url=F.col("src_url")).drop("src_url")
     )
     level = 0
-    frontier = cut_lineage(seeds.select(*NODE).distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
-    while (max_depth == 0 or level <= max_depth) and not frontier.isEmpty():
+    frontier = placed(seeds.select(*NODE).distinct().withColumn("depth", F.lit(0)))
+    size = frontier.count()
+    parts = [(size, frontier)]
+    while (max_depth == 0 or level <= max_depth) and size:
         level += 1
-        found = (
-            frontier.select(*NODE)
-            .join(outgoing, NODE)
-            .select("target_domain", F.col("dst_url").alias("url"))
-            .distinct()
-        )
-        frontier = cut_lineage(
-            found.join(seen.select(*NODE), NODE, "left_anti").withColumn("depth", F.lit(level))
-        )
-        seen = seen.unionByName(frontier)
+        frontier = kept(newly_found(frontier, outgoing, [p for _, p in parts], level, width))
+        size = frontier.count()
+        parts.append((size, frontier))
+        while len(parts) > 1 and parts[-2][0] <= 2 * parts[-1][0]:
+            (a, later), (b, earlier) = parts.pop(), parts.pop()
+            parts.append((a + b, placed(earlier.unionByName(later))))
+    seen = reduce(DataFrame.unionByName, [p for _, p in parts])
     processed = F.lit(True) if max_depth == 0 else F.col("depth") <= max_depth
     return seen.withColumn("processed", processed)
 
 
+def newly_found(
+    frontier: DataFrame, outgoing: DataFrame, seen: Sequence[DataFrame], level: int, width: int
+) -> DataFrame:
+    """URLs one step beyond the frontier that are in no part of what was seen."""
+    found = (
+        frontier.select(*NODE)
+        .join(outgoing, NODE)
+        .select("target_domain", F.col("dst_url").alias("url"))
+        .repartition(width, *NODE)
+        .distinct()
+    )
+    for part in seen:
+        found = found.join(part.select(*NODE), NODE, "left_anti")
+    return found.withColumn("depth", F.lit(level))
+
+
 def edges_of_available(edges: DataFrame, available: DataFrame) -> DataFrame:
     """Drop edges out of pages that could not be fetched: they keep their depth, lead nowhere."""
     ok = available.select("target_domain", F.col("url").alias("src_url")).distinct()
@@ -111,6 +130,25 @@ def crawl_stats(status: DataFrame, with_total: bool = False) -> DataFrame:
     return counts.unionByName(total)
 
 
+def crawl_figures(reached: DataFrame, inventory: DataFrame, fetch_log: DataFrame) -> DataFrame:
+    """Per site: URLs visited, and of those within the depth how many were cached, fetched or failed.
+
+    ``fetch_log`` (target_domain, url, status) has the requests of this run, status 0 for a success; a
+    missing URL without an entry was not asked for and counts as visited only.
+    """
+    tried = fetch_log.groupBy("target_domain", "url").agg((F.min("status") == 0).alias("_ok"))
+    beyond = reached.where(~F.col("processed")).select(*NODE, F.lit("beyond").alias("status"))
+    status = with_status(reached, inventory).select(*NODE, "status").unionByName(beyond)
+    joined = status.join(tried, NODE, "left")
+    missing = F.col("status") == "missing"
+    return joined.groupBy("target_domain").agg(
+        F.count("*").alias("visited"),
+        F.count_if(F.col("status") == "present").alias("cached"),
+        F.count_if(missing & F.col("_ok")).alias("downloaded"),
+        F.count_if(missing & ~F.col("_ok")).alias("failed"),
+    )
+
+
 def jitter_permille(url: Column) -> Column:
     """Repeatable waiting factor of a URL, 500 to 1500 thousandths."""
     return F.lit(500) + F.pmod(F.xxhash64(url), F.lit(1001))

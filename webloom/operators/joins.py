@@ -10,37 +10,6 @@ from pyspark.sql import functions as F
 
 from webloom.session import cut_lineage, shuffle_width
 
-DEFAULT_SALTS = 16
-SALT = "_salt"
-
-
-def salt_of(*spread_by: str, salts: int = DEFAULT_SALTS) -> Column:
-    """Number of the copy of the dictionary that a row uses."""
-    return F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-
-
-def salted_copies(dictionary: DataFrame, salts: int = DEFAULT_SALTS) -> DataFrame:
-    return dictionary.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "inner",
-    salts: int = DEFAULT_SALTS,
-) -> DataFrame:
-    """Join many references to a dictionary that has one row per key.
-
-    References to one popular key are spread over ``salts`` tasks by a hash of ``spread_by``; the
-    dictionary, far smaller than the references, is repeated once per salt.  Adaptive execution
-    splits what is still too large.
-    """
-    salted = left.withColumn(SALT, salt_of(*spread_by, salts=salts))
-    return salted.join(salted_copies(right, salts), [*on, SALT], how).drop(SALT)
-
-
 def running_total(
     df: DataFrame,
     groups: Sequence[str],
@@ -96,5 +65,5 @@ def tiles(
     tile = F.when(
         F.col("_row") <= large, F.floor((F.col("_row") - 1) / (base + 1)) + 1
     ).otherwise(extra + F.floor((F.col("_row") - 1 - large) / F.greatest(base, F.lit(1))) + 1)
-    joined = lookup(numbered, sizes, groups, order)
+    joined = numbered.join(sizes, list(groups))
     return joined.withColumn(name, tile.cast("int")).drop("_row", "_size")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
 from webloom.functions.binding import pin
-from webloom.operators.joins import lookup
 from webloom.operators.tokens import attribute_values
 
 # Every tag is searched for every attribute.
@@ -112,9 +111,9 @@ def url_map(media: DataFrame, files: DataFrame, mark_shared: bool = False) -> Da
         .select("target_domain", F.regexp_extract("path", "[^/]+$", 0).alias("filename"))
         .distinct()
     )
-    found = lookup(names, present, ["target_domain", "filename"], ["url"])
+    found = names.join(present, ["target_domain", "filename"])
     found = found.select("target_domain", "url", "filename")
     if not mark_shared:
         return found
     uses = found.groupBy("target_domain", "filename").agg((F.count("*") > 1).alias("shared"))
-    return lookup(found, uses, ["target_domain", "filename"], ["url"])
+    return found.join(uses, ["target_domain", "filename"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,11 @@ h1, h2, h3 { margin-top: 1.5em; }
 a { color: #0645ad; text-decoration: none; }
 a:hover { text-decoration: underline; }
 .mw-body-content { padding: 1em; }</style>"""
+# A page that has a head: its tag, or an element that only a head holds, comes first.
+HEAD_START = (
+    r"(?is)\A(?:\s++|<!--.*?-->|<!doctype[^>]*+>|<html[^>]*+>)*+"
+    r"<(?:head|link|meta|script|style|title|base)[\s/>]"
+)
 FALLBACK_MARK = "/* Minimal fallback CSS for offline browsing */"
 SCRIPT_CALLS = (
     r"""ga\(['"]create['"],\s*[^)]+\);?""",
@@ -71,17 +77,30 @@ SCRIPT_CALLS = (
     r"""\{[^}]*\}\s*\([^)]*\)\s*;""",
 )
 
-# Elements by the pass that cuts the page.  A link ends at its end tag; one that is not closed
-# before the next link is taken as its start tag only.
+# Comments and raw text are cut out whole in every pass, so nothing inside them is taken for markup.
+# A link ends at its end tag; one that is not closed before the next link is its start tag only.
+_NO_MARKUP = "|".join([H.COMMENT, *(H.element_pattern(n) for n in H.RAW_TEXT_ELEMENTS)])
 _TEMPERED_LINK = (
     H.START_TAG.replace("<[A-Za-z][^\\s/>]*+", "<a", 1)
-    + r"(?:(?:[^<]++|<(?!/?a[\s/>]))*+</a(?:[\s/][^>]*)?>)?+"
-)
-_PASSES = (
-    (("link", "script"), H.ITEM),
-    (("noscript",), "(?is)" + H.element_pattern("noscript")),
-    (("a",), "(?is)" + _TEMPERED_LINK),
+    + rf"(?:(?:[^<]++|{_NO_MARKUP}|<(?!/?a[\s/>]))*+</a(?:[\s/][^>]*)?>)?+"
 )
+_PATTERNS = {
+    ("link", "script"): H.ITEM,
+    ("noscript",): f"(?is){_NO_MARKUP}|{H.element_pattern('noscript')}",
+    ("a",): f"(?is){_NO_MARKUP}|{_TEMPERED_LINK}",
+}
+
+
+def _tags_of(rule: RemovalRule) -> tuple[str, ...]:
+    return next(tags for tags in _PATTERNS if rule.tag in tags)
+
+
+def _passes(rules: Sequence[RemovalRule]):
+    """(tags, pattern, rules): neighbouring rules that cut a page alike share a pass.
+
+    The order of the rules stays, so what an earlier one removes is not there for a later one.
+    """
+    return [(tags, _PATTERNS[tags], list(own)) for tags, own in groupby(rules, key=_tags_of)]
 
 
 def _rules_match(item: Column, tag: str, rules: Sequence[RemovalRule]) -> list[Column]:
@@ -125,14 +144,12 @@ def remove_elements(
 ) -> DataFrame:
     """Drop matching elements; adds ``out`` and ``removed`` (number of elements dropped)."""
     pages = pin(pages, **{out: F.col("html"), "removed": F.lit(0)})
-    for tags, pattern in _PASSES:
-        if not any(r.tag in tags for r in rules):
-            continue
+    for tags, pattern, own in _passes(rules):
         text = F.col(out)
         pages = pin(
             pages,
             _kept=F.transform(
-                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _kept_item(tags, rules)
+                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _kept_item(tags, own)
             ),
         )
         pages = pin(pages, _dropped=F.size(F.filter("_kept", lambda i: i.isNull())))
@@ -149,11 +166,22 @@ def remove_elements(
 
 
 def add_fallback_style(text: Column) -> Column:
-    """Put the style before the first end of a head, once."""
-    return F.when(text.contains(FALLBACK_MARK), text).otherwise(
-        F.regexp_replace(
-            text, r"(?is)\A(.*?)(</head\s*>)", "$1" + FALLBACK_STYLE.replace("$", r"\$") + "$2"
-        )
+    """Put the style before the first end of a head, once.
+
+    Both tags of a head may be left out.  If a head's end tag is, the style goes before the body, or
+    to the start of a page without one; a page that begins with its body has no head and gets no style.
+    """
+    style = FALLBACK_STYLE.replace("$", r"\$")
+
+    def before(tag: str) -> Column:
+        return F.regexp_replace(text, rf"(?is)\A(.*?)({tag})", f"$1{style}$2")
+
+    return (
+        F.when(text.contains(FALLBACK_MARK), text)
+        .when(text.rlike(r"(?i)</head\s*>"), before(r"</head\s*>"))
+        .when(~text.rlike(HEAD_START), text)
+        .when(text.rlike(r"(?i)<body[\s>]"), before(r"<body[\s>]"))
+        .otherwise(F.concat(F.lit(FALLBACK_STYLE), text))
     )
 
 
@@ -173,7 +201,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 def removal_candidates(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """The elements the rules would remove, as rows with the number of the first rule that fits."""
     parts = []
-    for tags, pattern in _PASSES:
+    for tags, pattern in _PATTERNS.items():
         found = pages.select(
             *keys,
             F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("pos", "element"),

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from webloom.functions import html as H
 from webloom.functions import urls as U
 from webloom.functions.binding import let, pin
-from webloom.operators.joins import lookup
 from webloom.operators.media import MEDIA_FOLDER
 from webloom.operators.tokens import attribute_values
 
@@ -73,7 +72,7 @@ def link_edits(
         )
     dictionary = reduce(DataFrame.unionByName, dictionaries).withColumnRenamed("path", "_file")
     references = pin(found, _key=own).where(F.col("_key").isNotNull())
-    hits = lookup(references, dictionary, key, ["page_id", "pos", "attr"])
+    hits = references.join(dictionary, key)
     value = F.concat(U.up_prefix(F.col("path")), "_file")
     if inventory is not None:
         inside = U.relative_path(F.col("_file"), F.col("path"))

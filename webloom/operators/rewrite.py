@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.binding import let, pin
+from webloom.functions.html import BLANK
 from webloom.operators.joins import ordinal
 
 FAILURE_TYPE = "array<struct<step_no:int,step:string,pattern:string,error:string,content:string>>"
@@ -53,7 +54,7 @@ def html_error(before: Column, after: Column) -> Column:
 
 
 def css_error(before: Column, after: Column) -> Column:
-    return F.when(~after.rlike(r"\S"), F.lit("CSS content is empty"))
+    return F.when(after.rlike(rf"(?U)\A{BLANK}*+\z"), F.lit("CSS content is empty"))
 
 
 def run_steps(
@@ -105,10 +106,13 @@ def failure_rows(rewritten: DataFrame, keys: Sequence[str]) -> DataFrame:
 def numbered_failures(
     failures: DataFrame, keys: Sequence[str], last_number: int = 0
 ) -> DataFrame:
-    """Five-digit running numbers that continue after ``last_number``."""
-    numbered = ordinal(failures, [], [*keys, "step_no"], "_n")
-    return numbered.withColumn("number", F.format_string("%05d", F.col("_n") + last_number)).drop(
-        "_n"
-    )
+    """Five-digit running numbers that continue after ``last_number``.
+
+    Only keys are sorted and numbered; the rejected contents are joined to their numbers.
+    """
+    own = [*keys, "step_no"]
+    numbers = ordinal(failures.select(*own), [], own, "_n")
+    number = F.format_string("%05d", F.col("_n") + last_number)
+    return failures.join(numbers.select(*own, number.alias("number")), own)
 
 

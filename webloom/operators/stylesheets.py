@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from webloom.functions import html as H
 from webloom.functions import urls as U
 from webloom.functions.binding import pin
-from webloom.operators.joins import SALT, lookup, salt_of, salted_copies
 from webloom.operators.links import CSS_IMPORT
 from webloom.operators.media import MEDIA_FOLDER
 from webloom.operators.rewrite import RewriteStep, css_error, run_steps
-from webloom.session import cut_lineage, shuffle_width
+from webloom.session import cut_lineage
 
 MAX_IMPORT_DEPTH = 10
 
@@ -67,32 +66,34 @@ def _opened(below: Column) -> Column:
     )
 
 
+def _climbed(at: Column, segment: Column) -> Column:
+    """Depth below the site's folder after one more segment, and the least depth so far."""
+    depth = at["depth"] + F.when(segment == "..", -1).otherwise(1)
+    return F.struct(depth.alias("depth"), F.least(at["low"], depth).alias("low"))
+
+
 def inline_imports(sheets: DataFrame) -> DataFrame:
     """Replace imports by the imported text: adds ``inlined`` and ``n_inlined``.
 
     The rounds move no stylesheet text.  An open import is a row of its place in the outermost
     sheet (``order_key``), its path and the imports it came through (``stack``); each round joins
-    the open imports with the imports of every sheet, which are partitioned once.  Texts are joined
-    to the resulting places at the end, and put together per outermost sheet.  A path is resolved
+    the open imports with the imports of every sheet.  Texts are joined to the resulting places at
+    the end, and put together per outermost sheet; adaptive execution splits a popular import.  A path is resolved
     from the folder of the outermost sheet.
     """
-    width = shuffle_width(sheets.sparkSession)
     no_ints, no_texts = F.array().cast("array<int>"), F.array().cast("array<string>")
     structure = cut_lineage(sheets.select(*SHEET, _imports(F.col("css")).alias("imports")))
     on = ["target_domain", "_target"]
-    known = cut_lineage(
-        salted_copies(
-            structure.select("target_domain", F.col("path").alias("_target"), "imports")
-        )
-        .repartition(width, *on, SALT)
-        .sortWithinPartitions(*on, SALT),
-        keep_layout=True,
-    )
+    known = structure.select("target_domain", F.col("path").alias("_target"), "imports")
     raw, folder = F.col("raw"), U.folder_of(F.col("path"))
     joined = F.when(folder == "", raw).otherwise(F.concat(folder, F.lit("/"), raw))
-    # A path from the root of the host is no path of a stored file.
-    target = F.when(raw.startswith("/"), "").otherwise(U.normalize_path(joined))
-    salt = salt_of("path", "order_key")
+    # A path from the root of the host, or one that leaves the site, is no path of a stored file.
+    inside = F.aggregate(
+        F.filter(F.split(joined, "/", -1), lambda s: ~s.isin("", ".")),
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low")),
+        lambda a, s: _climbed(a, s),
+    )["low"] >= 0
+    target = F.when(raw.startswith("/") | ~inside, "").otherwise(U.normalize_path(joined))
     outcome = (
         F.when(
             raw.rlike("^https?://"),
@@ -116,8 +117,8 @@ def inline_imports(sheets: DataFrame) -> DataFrame:
     rounds = []
     stopped = F.col("_stop").isNotNull()
     while True:
-        aimed = pin(open_imports, _target=target, **{SALT: salt})
-        judged = cut_lineage(pin(aimed.join(known, [*on, SALT], "left"), _stop=outcome))
+        aimed = pin(open_imports, _target=target)
+        judged = cut_lineage(pin(aimed.join(known, on, "left"), _stop=outcome))
         texts.append(
             judged.where(stopped).select(
                 *SHEET, "order_key", F.col("_stop").alias("text"), F.lit(0).alias("n")
@@ -138,7 +139,7 @@ def inline_imports(sheets: DataFrame) -> DataFrame:
         places.select(*on).distinct(), on, "left_semi"
     )
     texts.append(
-        lookup(places, bodies, on, ["path", "order_key"]).select(
+        places.join(bodies, on).select(
             *SHEET, F.inline(_texts(F.col("css"), F.col("order_key"))), F.lit(0).alias("n")
         )
     )
@@ -172,8 +173,8 @@ def neutralize_remote(css: Column) -> Column:
 
 
 def absolute_to_relative(css: Column, prefix: Column) -> Column:
-    marked = F.regexp_replace(css, ABSOLUTE_URL, "url($1\u0000$2$1)")
-    return F.replace(marked, F.lit("\u0000"), prefix)
+    """The prefix holds dots and slashes only, so it is safe in a replacement."""
+    return F.regexp_replace(css, F.lit(ABSOLUTE_URL), F.concat(F.lit("url($1"), prefix, F.lit("$2$1)")))
 
 
 def localize(sheets: DataFrame, url_map: DataFrame, text: str, out: str) -> DataFrame:
@@ -190,7 +191,7 @@ def localize(sheets: DataFrame, url_map: DataFrame, text: str, out: str) -> Data
         .withColumn("_url", F.regexp_extract("ref", MAPPED_URL, 2))
     )
     targets = url_map.select("target_domain", F.col("url").alias("_url"), "filename")
-    found = lookup(references, targets, ["target_domain", "_url"], ["path", "pos"], how="left")
+    found = references.join(targets, ["target_domain", "_url"], "left")
     quote = F.regexp_extract("ref", MAPPED_URL, 1)
     local = F.concat(
         F.lit("url("), quote, U.up_prefix(F.col("path")), F.lit(f"{MEDIA_FOLDER}/"), F.col("filename"),

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from webloom.functions import urls as U
 from webloom.functions.binding import pin
 from webloom.operators import crawl, media, offline, relink, report, stylesheets, validate
-from webloom.operators.joins import lookup
 from webloom.session import cut_lineage
 
 
@@ -53,17 +52,17 @@ class Mirror:
     def url_map(self) -> DataFrame:
         return media.url_map(self.media, self.files)
 
-    def _in_media_sites(self, rows: DataFrame, spread_by: str, how: str) -> DataFrame:
-        """Rows of sites with (left_semi) or without (left_anti) media; a large site is spread."""
+    def _in_media_sites(self, rows: DataFrame, how: str) -> DataFrame:
+        """Rows of sites with (left_semi) or without (left_anti) media."""
         sites = self.media.select("target_domain").distinct()
-        return lookup(rows, sites, ["target_domain"], [spread_by], how=how)
+        return rows.join(sites, "target_domain", how)
 
     @cached_property
     def pages(self) -> DataFrame:
         cors_pages = None
         if self.skip_without_media:
             keys = self.source.select("page_id", "target_domain")
-            cors_pages = self._in_media_sites(keys, "page_id", "left_semi")
+            cors_pages = self._in_media_sites(keys, "left_semi")
         linked = relink.relink(self.source, self.url_map, self.page_inventory, cors_pages)
         cleaned = offline.clean_pages(
             linked.withColumnsRenamed(
@@ -84,8 +83,8 @@ class Mirror:
     def stylesheets(self) -> DataFrame:
         if not self.skip_without_media:
             return stylesheets.rewrite_stylesheets(self.sheets, self.url_map)
-        treated = self._in_media_sites(self.sheets, "path", "left_semi")
-        untreated = self._in_media_sites(self.sheets, "path", "left_anti").withColumns(
+        treated = self._in_media_sites(self.sheets, "left_semi")
+        untreated = self._in_media_sites(self.sheets, "left_anti").withColumns(
             {"new_css": F.col("css"), "steps_applied": F.lit(0)}
         )
         return stylesheets.rewrite_stylesheets(treated, self.url_map).unionByName(

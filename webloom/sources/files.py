@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,53 +21,51 @@ def _relative(folder: str):
     }
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition an input that has fewer splits than the session has cores.
+def _below(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob)
+        .load(folder)
+    )
 
-    Cutting pages is work for the processor, and one small file is one split.  A large input has
-    many splits and is returned as it is: no shuffle.
+
+def _without_content(files: DataFrame) -> DataFrame:
+    """Paths of empty files: the file source lists them, but gives no rows for them.
+
+    The list of files is one that the driver holds for every file source.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    listed = [(unquote(p),) for p in files.inputFiles()]
+    paths = files.sparkSession.createDataFrame(listed, "path string")
+    # Both write a path with or without empty authority.
+    plain = F.regexp_replace("path", "^([a-z0-9]+):/*", "$1:/")
+    with_content = files.select(plain.alias("_plain_path"))
+    return paths.join(with_content, plain == F.col("_plain_path"), "left_anti")
 
 
 def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """All files below a folder: (path, length); contents are not read.
-
-    Spark's file sources leave out files without content.
-    """
+    """All files below a folder: (path, length); contents are not read."""
     relative, helpers = _relative(folder)
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(folder)
-        .select("path", "length")
-    )
-    return files.withColumns(helpers).select(relative.alias("path"), "length")
+    files = _below(spark, folder, glob)
+    empty = _without_content(files).withColumn("length", F.lit(0).cast("bigint"))
+    found = files.select("path", "length").unionByName(empty)
+    return found.withColumns(helpers).select(relative.alias("path"), "length")
 
 
-def texts(spark: SparkSession, folder: str, glob: str, column: str) -> DataFrame:
-    """Text files as (path, <column>); invalid bytes and empty files are dropped."""
+def texts(
+    spark: SparkSession, folder: str, glob: str, column: str, with_empty: bool = False
+) -> DataFrame:
+    """Text files as (path, <column>); invalid bytes are dropped, and empty files if not asked for."""
     relative, helpers = _relative(folder)
     raw = F.col("content").cast("string")
     decoded = F.when(F.is_valid_utf8(raw), raw).otherwise(
         F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
     )
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(folder)
-    )
-    return (
-        files.where(F.col("length") > 0)
-        .withColumns(helpers)
-        .select(relative.alias("path"), decoded.alias(column))
-        .where(F.col(column) != "")
-    )
+    files = _below(spark, folder, glob)
+    found = files.select("path", decoded.alias(column)).where(F.col(column) != "")
+    if with_empty:
+        found = found.unionByName(_without_content(files).withColumn(column, F.lit("")))
+    return found.withColumns(helpers).select(relative.alias("path"), column)
 
 
 def read_pages(spark: SparkSession, folder: str, target_domain: str) -> DataFrame:
@@ -81,7 +81,8 @@ def read_pages(spark: SparkSession, folder: str, target_domain: str) -> DataFram
 
 
 def read_stylesheets(spark: SparkSession, folder: str, target_domain: str) -> DataFrame:
-    found = texts(spark, folder, "*.css", "css")
+    """``*.css`` files of one site; an empty one can be imported, so it is there too."""
+    found = texts(spark, folder, "*.css", "css", with_empty=True)
     return found.select(
         F.lit(target_domain).alias("target_domain"),
         "path",
@@ -114,7 +115,10 @@ def last_failure_number(spark: SparkSession, folder: str) -> int:
 
 
 def quarantine(failures: DataFrame, keys: list[str], folder: str) -> None:
-    """Append rejected rewrites under running numbers that continue in the folder."""
+    """Append rejected rewrites under running numbers that continue in the folder.
+
+    One writer at a time: two of them would read the same last number.
+    """
     spark = failures.sparkSession
     numbered = numbered_failures(failures, keys, last_failure_number(spark, folder))
     numbered.write.mode("append").parquet(folder)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +14,10 @@ from webloom.operators.links import internal_links
 from webloom.operators.validate import check_pages, issue_rows
 
 
+#: Divisions of a list of URLs.
+LIST_PARTS = 64
+
+
 def issue_counts(
     pages: DataFrame, window: str = "10 minutes", late: str = "10 minutes"
 ) -> DataFrame:
@@ -53,7 +57,8 @@ def start_missing_urls(
     """Write discovered URLs that are not stored and not yet listed to ``folder``.
 
     The watermark may forget a URL; the anti join with the rows of earlier batches keeps the list
-    free of duplicates.  A batch that is run again overwrites its own part.
+    free of duplicates.  The list is divided by a hash of the site and the URL, and a batch reads only the
+    divisions that its own URLs fall into.  A batch that is run again overwrites its own part.
     """
     stored = inventory.select("target_domain", "path").distinct()
 
@@ -62,11 +67,14 @@ def start_missing_urls(
         fresh = (
             pin(batch.select("target_domain", "url").distinct(), path=U.local_path(F.col("url")))
             .join(stored, ["target_domain", "path"], "left_anti")
+            .withColumn("part", F.pmod(F.xxhash64("target_domain", "url"), F.lit(LIST_PARTS)).cast("int"))
         )
         if number > 0:
-            listed = spark.read.parquet(folder).where(F.col("batch") < number)
-            fresh = fresh.join(listed, ["target_domain", "url"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            touched = [r["part"] for r in fresh.select("part").distinct().collect()]
+            listed = spark.read.schema(f"{fresh.schema.toDDL()}, batch INT").parquet(folder)
+            listed = listed.where((F.col("batch") < number) & F.col("part").isin(touched))
+            fresh = fresh.join(listed.drop("path", "batch"), ["part", "target_domain", "url"], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/batch={number}")
 
     return (
         discovered.writeStream.foreachBatch(write)
@@ -76,6 +84,31 @@ def start_missing_urls(
     )
 
 
+def start_counts(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write the running counts of a windowed stream; ``current_counts`` reads the last of each.
+
+    Every batch writes the windows it has changed, so the windows at the end of the stream are there
+    without waiting for the watermark.  A batch that is run again overwrites its own part.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return (
+        counts.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest count of each window and issue."""
+    rows = spark.read.parquet(folder)
+    return rows.groupBy("window_start", "issue").agg(F.max_by("pages", "batch").alias("pages"))
+
+
 def start_append(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return (
         rows.writeStream.format("parquet")

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -13,7 +14,7 @@ import pandas as pd
 
 from checks.oracles import ORACLES
 from checks.registry import QUERIES
-from webloom.session import build_session
+from webloom.session import build_session, name_folder
 
 
 def normalized(frame: pd.DataFrame) -> list[tuple]:
@@ -56,6 +57,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         },
     )
     spark.sparkContext.setLogLevel("OFF")
+    name_folder(spark, tempfile.mkdtemp(prefix="webloom-compare-"))
     con = connect(sf_dir)
     failed = 0
     for name in names or list(QUERIES):

@@ -30,6 +30,7 @@ from webloom.operators import (
 from webloom.plans import mirror
 from webloom.session import cut_lineage, shared_folder
 from webloom.sources import files as file_tables
+from webloom.sources import settings
 from webloom.streaming import jobs
 
 PATTERNS = ("action=", "Special:", "sort=", "f=[0-9]+&")
@@ -202,6 +203,55 @@ def failure_numbers(spark, sf_dir):
     )
 
 
+def _page_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The given pages as files below the shared folder, one in a folder named by its page."""
+    folder = f"{shared_folder(spark)}/pages/{uuid.uuid4().hex}"
+    raw_pages(spark, sf_dir).select("page_id", "html").write.partitionBy("page_id").text(folder)
+    return folder
+
+
+def _page_of(path: str) -> Column:
+    return F.regexp_extract(path, "page_id=([0-9]+)", 1).cast("bigint").alias("page_id")
+
+
+@query
+def folder_pages(spark, sf_dir):
+    """Files scanned as texts; the writer ends each with a line feed."""
+    found = file_tables.texts(spark, _page_folder(spark, sf_dir), "*.txt", "html")
+    return found.select(_page_of("path"), "html")
+
+
+@query
+def folder_inventory(spark, sf_dir):
+    return file_tables.inventory(spark, _page_folder(spark, sf_dir), "*.txt").select(
+        _page_of("path"), "length"
+    )
+
+
+@query
+def failed_url_file(spark, sf_dir):
+    """The list of failed URLs as a text file, read back."""
+    folder = f"{shared_folder(spark)}/failed/{uuid.uuid4().hex}"
+    file_tables.write_url_list(report.failed_urls(fetch_log(spark, sf_dir)), folder)
+    return spark.read.text(folder).select(F.col("value").alias("url"))
+
+
+@query
+def loaded_settings(spark, sf_dir):
+    """Settings with limits and rules taken from the pages, written as a file and loaded."""
+    folder = f"{shared_folder(spark)}/settings/{uuid.uuid4().hex}"
+    values = F.struct(
+        (F.count("*") % 50 + 1).alias("Timeout"),
+        (F.max("page_id") % 7).alias("MaxDepth"),
+        F.array(F.max("url"), F.lit("action=")).alias("RejectPatterns"),
+        F.lit(1).alias("_Note"),
+    )
+    raw_pages(spark, sf_dir).agg(F.to_json(values).alias("value")).write.text(folder)
+    return settings.load_settings(spark, folder).select(
+        "timeout", "max_depth", "retries", F.array_join("reject_patterns", " ").alias("patterns")
+    )
+
+
 @query
 def media_inventory(spark, sf_dir):
     return media_files(spark, sf_dir)

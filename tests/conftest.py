@@ -5,11 +5,11 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from webloom.session import build_session  # noqa: E402
+from webloom.session import build_session, name_folder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
@@ -21,6 +21,7 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("OFF")
+    name_folder(session, str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution re-plans joins and splits skewed partitions at run time.
@@ -25,22 +23,21 @@ def build_session(app: str = "webloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; taken from ``spark.checkpoint.dir``.
+def name_folder(spark: SparkSession, folder: str) -> None:
+    """Use this folder if the session names none; for local sessions, where any folder is shared."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
 
-    Only a local session (tests) gets a folder of its own; a cluster has to name one.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the one given to the context."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="webloom-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:

@@ -245,7 +245,7 @@ BODY = rx("html", r"(?is)<body[^>]*>(.*)$", 1)
 
 
 def visible(markup: str) -> str:
-    bare = sub(markup, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>", "<x>")
+    bare = sub(markup, r"(?is)<!--.*?-->|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<template\b.*?(?:</template\s*>|\z)", "<x>")
     nodes = f"string_split_regex({bare}, '</?[A-Za-z!][^>]*>')"
     texts = f"list_transform({nodes}, lambda n: trim({decode('n')}, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)))"
     return f"array_to_string(list_filter({texts}, lambda n: n <> ''), ' ')"

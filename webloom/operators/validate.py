@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.binding import pin
+from webloom.session import cut_lineage
 
 # Names of the issues and the limits of a readable body and of a preview.
 ISSUES = ("missing_head", "missing_body", "empty_body", "has_binary_content")
@@ -65,8 +66,10 @@ def issue_preview(issues: DataFrame, limit: int = PREVIEW) -> DataFrame:
     """First files per site and issue, and how many more there are.
 
     The ranking keeps only ``limit`` rows per group already before the shuffle (window group
-    limit), so the size of a site does not matter; the count is a partial aggregate.
+    limit), so the size of a site does not matter; the count is a partial aggregate.  Issues, far
+    smaller than the pages, are stored once, so pages are not cut twice.
     """
+    issues = cut_lineage(issues)
     keys = ["target_domain", "issue"]
     first = issues.withColumn(
         "rank", F.row_number().over(W.partitionBy(*keys).orderBy("path"))

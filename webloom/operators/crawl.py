@@ -15,6 +15,8 @@ from webloom.operators.links import css_edges, html_edges
 from webloom.session import cut_lineage, shuffle_width
 
 NODE = ["target_domain", "url"]
+#: Parts of the URLs seen that a round compares with, before small ones are merged.
+MOST_PARTS = 5
 
 
 def crawl_edges(
@@ -36,8 +38,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 0) -> DataFra
 
     ``max_depth`` 0 has no limit; otherwise URLs one level deeper are seen but not processed.
     Edges and URLs seen are partitioned and sorted alike and keep their layout in checkpoints, so a
-    round shuffles only the URLs it finds.  The parts of what is seen are merged when they are about as
-    large as one another, so each URL moves as often as the number of rounds has binary digits.
+    round shuffles only the URLs it finds.  After every few rounds the small parts of what was seen are
+    merged, and the large one with them only when they have outgrown it.
     ``pin`` keeps the conditions that made the edges from being tested again on every frontier.
     """
     width = shuffle_width(edges.sparkSession)
@@ -60,9 +62,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 0) -> DataFra
         frontier = kept(newly_found(frontier, outgoing, [p for _, p in parts], level, width))
         size = frontier.count()
         parts.append((size, frontier))
-        while len(parts) > 1 and parts[-2][0] <= 2 * parts[-1][0]:
-            (a, later), (b, earlier) = parts.pop(), parts.pop()
-            parts.append((a + b, placed(earlier.unionByName(later))))
+        if len(parts) > MOST_PARTS:
+            # The largest part stays as it is while it outweighs the others.
+            parts.sort(key=lambda p: -p[0])
+            stay = 1 if parts[0][0] >= sum(n for n, _ in parts[1:]) else 0
+            merged = placed(reduce(DataFrame.unionByName, [p for _, p in parts[stay:]]))
+            parts[stay:] = [(sum(n for n, _ in parts[stay:]), merged)]
     seen = reduce(DataFrame.unionByName, [p for _, p in parts])
     processed = F.lit(True) if max_depth == 0 else F.col("depth") <= max_depth
     return seen.withColumn("processed", processed)

@@ -50,5 +50,15 @@ def test_many_parts(make_docs, monkeypatch):
     assert len(rows) == 2000 and rows[0].id == "x"
 
 
+def test_few_probes_for_many_splitters(make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 100)
+    monkeypatch.setattr(sharding, "MOST_PARTS", 8)
+    monkeypatch.setattr(sharding, "MOST_PROBES", 64)
+    rows = sharding.shard(make_docs([(k, f"text {k}") for k in range(3000)])).collect()
+    counts = Counter(r.shard for r in rows)
+    assert len(counts) == 16 and max(counts.values()) - min(counts.values()) < 12
+    assert len({(r.shard, r.slot) for r in rows}) == 3000
+
+
 def test_empty(no_docs):
     assert sharding.digests(no_docs).count() == 0

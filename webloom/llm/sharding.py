@@ -29,10 +29,12 @@ from webloom.llm.common import arrow_map, stored
 SHARDS = 16
 #: A splitter may be this share of a shard's bytes away from its target.
 TOLERANCE = 0.002
-#: Bytes that move to one part of a shard.
+#: Bytes that move to one part of a shard, and the most parts of a shard.
 PART = 16 << 20
-#: Probes per open splitter and round.
+MOST_PARTS = 1024
+#: Probes per open splitter and round, and those of a round in all: what driver and tasks hold.
 PROBES = 256
+MOST_PROBES = 1 << 16
 LEVELS = ("_k1", "_k2", "_k3")
 
 
@@ -93,9 +95,11 @@ def splitters(keys: DataFrame, targets: np.ndarray, slack: np.ndarray) -> list[t
     while len(done) < len(targets):
         probes: dict[tuple[int, int, int], None] = {}
         grid: dict[tuple, list[tuple[int, int, int]]] = {}
-        for cell in {state[k] for k in range(len(targets)) if k not in done}:
+        cells = {state[k] for k in range(len(targets)) if k not in done}
+        each = max(4, min(PROBES, MOST_PROBES // len(cells)))
+        for cell in cells:
             level, fixed, low, high = cell
-            step = max(1, -(-(high - low) // PROBES))
+            step = max(1, -(-(high - low) // each))
             points = [*range(low, high, step), high]
             grid[cell] = [(*fixed, p, *(0,) * (2 - level)) for p in points]
             probes.update(dict.fromkeys(grid[cell]))
@@ -128,7 +132,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     keyed = _keys(docs.drop("shard", "slot"))
     keys = stored(keyed.select(*LEVELS, "_size"), "shard-keys")
     total = keys.agg(F.sum("_size").alias("n")).first()["n"] or 0
-    fine = max(1, -(-total // (shards * PART)))
+    fine = max(1, min(MOST_PARTS, -(-total // (shards * PART))))
     number = np.arange(1, shards * fine)
     targets = (number * total) // (shards * fine)
     slack = np.where(number % fine == 0, tolerance * total / shards, 0.2 * total / (shards * fine))

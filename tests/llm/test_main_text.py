@@ -30,6 +30,13 @@ def test_new_layouts():
     assert M.main_text(f"<nav><a href=1>Home</a></nav><p>{body}</p><div class=sidebar>{body}</div>") == body
 
 
+def test_headers_inside_and_outside_the_text():
+    body = "The ferry leaves at nine and comes back at noon, unless the weather is bad for boats."
+    page = f"""<div class="site-header"><p>{body} {body}</p></div><article><header><h1>Ferries</h1></header>
+    <div class="post-header">By a sailor</div><p>{body}</p></article><header>{body}</header>"""
+    assert M.main_text(page) == f"Ferries\n\nBy a sailor\n\n{body}"
+
+
 def test_odd_pages(spark):
     rows = [
         (1, "u", None, "x"), (None, None, "", "x"), (2, "u", "<p>", "x"), (2, "u", "<p>", "x"),

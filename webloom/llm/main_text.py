@@ -37,10 +37,12 @@ SILENT = frozenset(
 SIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 SIDE_NAMES = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|footer|"
-    r"header|masthead|cookies?|consent|notice|alert|popup|modal|overlay|comments?|respond|replies|"
+    r"cookies?|consent|notice|alert|popup|modal|overlay|comments?|respond|replies|"
     r"share|social|related|recommended|widget|breadcrumbs?|newsletter|subscri\w*|login|signup|"
     r"search|pagination|pager|copyright|disclaimer)(?![a-z])"
 )
+# A header outside the main text; one inside it holds its title.
+TOP_NAMES = re.compile(r"(?<![a-z])(?:header|masthead)(?![a-z])")
 MAIN_NAMES = re.compile(r"(?<![a-z])(?:article|post|entry|story|content|main)(?:-?(?:body|text|content))?(?![a-z])")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"</?[a-zA-Z][^>]*>?")
@@ -192,9 +194,10 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                     side, main = places[-1][1:] if places else (False, False)
             else:
                 names = " ".join(NAMED.findall(rest)).lower() if rest else ""
-                marked = name in SIDE_TAGS or (name == "header" and not main)
-                marked = marked or bool(names and SIDE_NAMES.search(names))
                 chosen = name in ("article", "main") or bool(names and MAIN_NAMES.search(names))
+                marked = name in SIDE_TAGS or bool(names and SIDE_NAMES.search(names))
+                if not (main or chosen):
+                    marked = marked or name == "header" or bool(names and TOP_NAMES.search(names))
                 if name in OPEN_ENDED:
                     own_side, own_main = marked, chosen
                 else:

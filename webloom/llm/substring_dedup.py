@@ -216,6 +216,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         .join(hits, ["anchor", "content"], "left")
         .where(F.col("several") | F.col("ts").isNotNull())
     )
+    # Stored, so that both sides of the next join are dealt out by it and a hot class can be split.
+    info = stored(info, "shared-classes")
     first, count = F.col("first"), F.col("count")
     span = F.when(
         F.col("id") > F.col("least"),

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,7 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
         .limit(SAMPLE)
         .toArrow()
     )
-    lists = [np.array(x, np.int64) for x in rows["buckets"].to_pylist()]
+    column = rows["buckets"].combine_chunks()
+    ends = np.cumsum(np.array(pc.list_value_length(column), np.int64))
+    lists = np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
     return fitted(lists, rows["toxic"].to_numpy().astype(np.int64))
 
 

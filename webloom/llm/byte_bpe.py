@@ -26,7 +26,7 @@ from webloom.llm.common import arrow_map, slices
 
 NONE = np.int32(2**31 - 1)
 #: Known pre-tokens kept by a Python worker; the memory is emptied when it holds more.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Bytes of text that are split into pre-tokens at once.
 SLICE = 6 << 20
 
@@ -62,16 +62,21 @@ class RankBitmap:
         return b << 6 | (w & -w).bit_length() - 1
 
 
+def tokens(lines: bytes) -> list[bytes]:
+    """Tokens of a rank file (lines of base64 token and rank) by their ids."""
+    pairs = [line.split() for line in lines.splitlines() if line.strip()]
+    out = [b""] * (max(int(r) for _, r in pairs) + 1)
+    for t, r in pairs:
+        out[int(r)] = base64.b64decode(t)
+    return out
+
+
 class Ranks:
-    """Vocabulary of a rank file: lines of base64 token and rank."""
+    """What merging needs of a vocabulary: the ranks of tokens and of pairs of tokens."""
 
     def __init__(self, lines: bytes):
-        pairs = [line.split() for line in lines.splitlines() if line.strip()]
-        self.rank_of = {base64.b64decode(t): int(r) for t, r in pairs}
-        size = max(self.rank_of.values()) + 1
-        self.token = [b""] * size
-        for t, r in self.rank_of.items():
-            self.token[r] = t
+        self.token = tokens(lines)
+        self.rank_of = {t: r for r, t in enumerate(self.token) if t}
         self.byte = np.array([self.rank_of[bytes([b])] for b in range(256)], np.int32)
         keys, ranks = [], []
         for t, r in self.rank_of.items():
@@ -231,7 +236,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         lines = encoded.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]):
-        token = _worker(lines.value)[0].token
+        token = tokens(lines.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)

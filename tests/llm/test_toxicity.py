@@ -64,3 +64,33 @@ def test_clashing_columns_stay(spark, odd_docs):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     out = T.scored(odd_docs, T.fit(odd_docs, labels))
     assert set(out.columns) == set(odd_docs.columns) and dict(out.dtypes)["score"] == "double"
+
+
+def test_a_pair_without_significant_margins_is_learned():
+    """Two words in 5 % of rows each, toxic only together; a third one is toxic alone."""
+    rng = random.Random(3)
+    words = [f"n{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    rows = []
+    for i in range(21_000):
+        text, toxic = rng.choices(words, k=20), rng.random() < 0.1
+        at = rng.random()
+        pair = at < 0.0055
+        text += ["vermin"] * toxic
+        text += ["alpha"] * (pair or (not toxic and at < 0.05))
+        text += ["beta"] * (pair or (not toxic and 0.05 <= at < 0.0945))
+        rows.append((i, text, int(toxic or pair)))
+    lists = [np.array(sorted({T.bucket(t) for t in x})) for _, x, _ in rows]
+    labels = np.array([y for *_, y in rows])
+    train = np.array([not T.held_out(i) for i, *_ in rows])
+    for word in ("alpha", "beta"):
+        has = train & np.array([word in x for _, x, _ in rows])
+        rate = labels[train].mean()
+        assert abs(labels[has].mean() - rate) < 4 * np.sqrt(rate * (1 - rate) / has.sum())
+    machine = T.fitted([x for x, k in zip(lists, train) if k], labels[train])
+    kept = [machine.place[x][machine.place[x] >= 0] for x in lists]
+    score = T.logistic(machine.margins(*T.flat(kept), len(kept)))
+    alone = np.array([("alpha" in x) != ("beta" in x) and "vermin" not in x for _, x, _ in rows])
+    both = np.array(["alpha" in x and "beta" in x and "vermin" not in x for _, x, _ in rows])
+    print(score[both & ~train].mean(), score[alone & ~train].mean())
+    assert score[both & ~train].mean() > 0.3
+    assert score[alone & ~train].mean() < 0.05

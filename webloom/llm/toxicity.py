@@ -2,8 +2,9 @@
 
 A text is the set of its lower-case words, hashed into buckets.  The machine adds a weight per bucket and,
 for each pair of buckets, the inner product of their factors, so two terms that only together are toxic
-(an insult and the mention of a group, say) can raise the score.  Buckets without any bearing on the
-label in the training rows have neither weight nor factors, so long texts do not collect noise.
+(an insult and the mention of a group, say) can raise the score.  Every bucket of the training rows has a
+weight and factors: a Gaussian prior on both (L2), weaker where the bucket's own toxic share says much, holds
+those with little evidence near zero, so long texts do not collect noise.  A bucket that no training row has counts as zero.
 
 The model is fitted on at most SAMPLE labelled training rows (those with the smallest hashed ids, a
 bound that does not depend on the data) and scores every whole text in one pass without a shuffle.
@@ -34,10 +35,13 @@ BUCKETS = 1 << 18
 FACTORS = 6
 #: Most labelled rows that a fit reads.
 SAMPLE = 20_000
-#: Standard errors by which a bucket's toxic share must differ, and rows it must stand in.
-LEAST_Z, LEAST_ROWS = 4.0, 3
+#: Priors (L2) of a bucket's weight and factors: the weak one from so many standard errors of its toxic share
+#: and rows on, else the strong one.  No bucket is left out.
+SURE_Z, SURE_ROWS, SURE_L2, L2 = 4.0, 3, 0.01, 30.0
+#: Epochs before the factors move: what single words explain would hide the pairs.
+WEIGHTS_FIRST = 30
 REJECT = 0.7
-EPOCHS, BATCH, RATE, DECAY, SEED = 100, 256, 0.1, 1e-5, 5
+EPOCHS, BATCH, RATE, SEED = 100, 256, 0.1, 5
 #: Different words that a worker remembers.
 MEMORY = 500_000
 TERM = re.compile(r"[^\W\d_]+")
@@ -64,7 +68,8 @@ class Machine:
         """Score before the logistic function of n texts; pairs (text, place), rows in order."""
         v = self.factor[places]
         total = np.zeros((n, self.factor.shape[1]))
-        np.add.at(total, rows, v)
+        for k in range(v.shape[1]):
+            total[:, k] = np.bincount(rows, v[:, k], n)
         squares = np.bincount(rows, (v**2).sum(1), n)
         linear = np.bincount(rows, self.weight[places], n)
         return self.bias + linear + 0.5 * ((total**2).sum(1) - squares)
@@ -91,36 +96,49 @@ def fitted(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
         return machine
     rows, buckets = flat(lists)
     total = np.bincount(buckets, minlength=BUCKETS)
-    toxic = np.bincount(buckets, labels[rows].astype(float), BUCKETS)
-    rate = positive / n
-    spread = np.sqrt(np.maximum(total * rate * (1 - rate), 1e-9))
-    used = np.flatnonzero((total >= LEAST_ROWS) & (np.abs(toxic - total * rate) > LEAST_Z * spread))
+    used = np.flatnonzero(total)
     place[used] = np.arange(len(used))
     rng = np.random.default_rng(SEED)
     machine.weight = np.zeros(len(used))
     machine.factor = rng.normal(0, 0.05, (len(used), FACTORS))
-    kept = [place[x][place[x] >= 0] for x in lists]
+    # The prior's part for one occurrence of a bucket: over an epoch each bucket has its prior once.
+    toxic = np.bincount(buckets, labels[rows].astype(float), BUCKETS)[used]
+    count, rate = total[used], positive / n
+    sure = (count >= SURE_ROWS) & (np.abs(toxic - count * rate) > SURE_Z * np.sqrt(count * rate * (1 - rate)))
+    prior = np.where(sure, SURE_L2, L2) / count
+    kept = [place[x] for x in lists]
+    slot = np.zeros(len(used), np.int64)
     g_bias, g_weight = 1e-6, np.full(len(used), 1e-6)
-    g_factor = np.full((len(used), FACTORS), 1e-2)
-    for _ in range(EPOCHS):
+    g_factor = np.full((len(used), FACTORS), 1e-4)
+    for epoch in range(EPOCHS):
         order = rng.permutation(n)
         for a in range(0, n, BATCH):
             part = order[a : a + BATCH]
             r, p = flat([kept[k] for k in part])
-            off = (logistic(machine.margins(r, p, len(part))) - labels[part]) / len(part)
-            v = machine.factor[p]
-            sums = np.zeros((len(part), FACTORS))
-            np.add.at(sums, r, v)
+            times = np.bincount(p, minlength=len(used))
+            seen = np.flatnonzero(times)
+            slot[seen] = np.arange(len(seen))
+            at, share = slot[p], times[seen] / len(part) * prior[seen]
+            margin = machine.bias + np.bincount(r, machine.weight[p], len(part))
+            if epoch >= WEIGHTS_FIRST:
+                v = machine.factor[seen]
+                f, sums = v[at], np.empty((len(part), FACTORS))
+                for k in range(FACTORS):
+                    sums[:, k] = np.bincount(r, f[:, k], len(part))
+                margin += 0.5 * ((sums**2).sum(1) - np.bincount(r, (f**2).sum(1), len(part)))
+            off = (logistic(margin) - labels[part]) / len(part)
             d_bias = off.sum()
-            d_weight = np.bincount(p, off[r], len(used)) + DECAY * machine.weight
-            d_factor = DECAY * machine.factor
-            np.add.at(d_factor, p, off[r][:, None] * (sums[r] - v))
+            d_weight = np.bincount(at, off[r], len(seen)) + share * machine.weight[seen]
             g_bias += d_bias**2
-            g_weight += d_weight**2
-            g_factor += d_factor**2
+            g_weight[seen] += d_weight**2
             machine.bias -= RATE * d_bias / np.sqrt(g_bias)
-            machine.weight -= RATE * d_weight / np.sqrt(g_weight)
-            machine.factor -= RATE * d_factor / np.sqrt(g_factor)
+            machine.weight[seen] -= RATE * d_weight / np.sqrt(g_weight[seen])
+            if epoch >= WEIGHTS_FIRST:
+                rest, d_factor = off[r][:, None] * (sums[r] - f), share[:, None] * v
+                for k in range(FACTORS):
+                    d_factor[:, k] += np.bincount(at, rest[:, k], len(seen))
+                g_factor[seen] += d_factor**2
+                machine.factor[seen] -= RATE * d_factor / np.sqrt(g_factor[seen])
     return machine
 
 
@@ -173,7 +191,7 @@ def _scorer(machine: Machine):
     known: dict[str, int] = {}
 
     def score(texts: pd.Series) -> pd.Series:
-        lists = []
+        lists, margins = [], []
         for text in texts:
             found = set()
             for t in terms(text):
@@ -185,7 +203,11 @@ def _scorer(machine: Machine):
             lists.append(np.array(sorted(found), np.int64))
             if len(known) > MEMORY:
                 known.clear()
-        return pd.Series(logistic(machine.margins(*flat(lists), len(lists))))
+            if len(lists) == 500:
+                margins.append(machine.margins(*flat(lists), len(lists)))
+                lists = []
+        margins.append(machine.margins(*flat(lists), len(lists)))
+        return pd.Series(logistic(np.concatenate(margins)))
 
     score.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return score

@@ -99,3 +99,11 @@ def test_first_piece_may_be_shorter():
 
 def test_empty(no_docs):
     assert P.packed(no_docs, PATH).count() == 0
+
+
+def test_literals_of_added_tokens(make_docs):
+    t = tokenizers.Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext |> <|endof", "  <|endoftext|>  "]
+    found = P.pieces(make_docs(list(enumerate(texts))), PATH, with_ids=True).collect()
+    want = {k: [*t.encode(x, add_special_tokens=False).ids, 2] for k, x in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in found} == want and 50256 in want[0]

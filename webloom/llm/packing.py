@@ -8,7 +8,8 @@ are interchangeable, and its work does not grow with the number of documents.  E
 place by its rank among the pieces of its length, which tasks number in parts.
 
 Nulls: a null text is an empty text and, like any document, has its end token.  A null doc_id is kept;
-repeated rows are packed each for itself.  Other input columns are not read.
+repeated rows are packed each for itself.  Other input columns are not read.  The literal of an added token
+(``<|endoftext|>``) has the id of that token, as in the tokenizers library.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from __future__ import annotations
 import json
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +55,27 @@ def byte_level_ranks(tokenizer: bytes) -> dict[bytes, int]:
     }
 
 
-_ENCODER: dict[int, tiktoken.Encoding] = {}
+def added_tokens(tokenizer: bytes) -> dict[str, int]:
+    """Added tokens of a ``tokenizer.json``: texts are cut at them before anything else."""
+    added = json.loads(tokenizer)["added_tokens"]
+    for t in added:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"added token with options: {t['content']}")
+    return {t["content"]: t["id"] for t in added}
 
 
-def _encoder(tokenizer: bytes) -> tiktoken.Encoding:
+_ENCODER: dict[int, Callable[[str], list[int]]] = {}
+
+
+def _encoder(tokenizer: bytes) -> Callable[[str], list[int]]:
+    """Ids as the tokenizers library gives them without special tokens around the text."""
     key = hash(tokenizer)
     if key not in _ENCODER:
-        ranks = byte_level_ranks(tokenizer)
-        _ENCODER[key] = tiktoken.Encoding(
-            "file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ranks, special = byte_level_ranks(tokenizer), added_tokens(tokenizer)
+        encoding = tiktoken.Encoding(
+            "file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
+        _ENCODER[key] = partial(encoding.encode, allowed_special="all", disallowed_special=())
     return _ENCODER[key]
 
 
@@ -81,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encode = _encoder(content.value).encode_ordinary
+        encode = _encoder(content.value)
         rows: dict[str, list] = {n: [] for n in ("piece", "start", "length", "ids_crc32", "ids")}
         for batch in batches:
             at: list[int] = []

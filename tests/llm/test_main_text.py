@@ -53,3 +53,22 @@ def test_odd_pages(spark):
     assert texts[1] == texts[2] == texts[3] == texts[5] == ""
     assert texts[4] == " ".join(["word"] * 200_000) and texts[6] == "a < b <3"
     assert M.extract(df.limit(0)).count() == 0
+
+
+def test_wrappers_with_side_words_hold_the_text():
+    body = "The ferry leaves at nine and comes back at noon, unless the weather is bad for boats."
+    note = "A reader writes at length about this and that and about the ferry too."
+    article = f"<article><p>{body}</p><p>Yes.</p></article>"
+    want = f"{body}\n\nYes."
+    for start, end in (
+        ("<form method=post action=x.aspx>", "</form>"),
+        ("<div class='site with-sidebar'>", "</div>"),
+        ("<div id=page class='nav-open'>", "</div>"),
+        ("<div class='page sidebar'>", "</div>"),
+        ("<div class='menu'><FORM>", "</FORM></div>"),
+    ):
+        side = f"<div class=comments><article><p>{note}</p></article></div><aside><article>{note}</article></aside>"
+        assert M.main_text(f"<body><nav><a href=1>A</a></nav>{start}{article}{side}{end}</body>") == want
+    assert M.main_text(article.replace("<article>", "<article class='post has-comments'>")) == want
+    assert M.main_text(f"<form><div id=content><p>{body}</p><p>Yes.</p></div></form>") == want
+    assert M.main_text("<form>" * 20_000 + "x") is not None

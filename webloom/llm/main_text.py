@@ -41,6 +41,13 @@ SIDE_NAMES = re.compile(
     r"share|social|related|recommended|widget|breadcrumbs?|newsletter|subscri\w*|login|signup|"
     r"search|pagination|pager|copyright|disclaimer)(?![a-z])"
 )
+# Words about the layout or state of a wrapper, not about what it holds: with-sidebar, has-comments, nav-open.
+LAYOUT_NAMES = re.compile(
+    r"(?<![\w-])(?:has|with|without|no|is)-[\w-]+|(?<![\w-])[\w-]+-(?:open|opened|closed|collapsed|hidden|visible|active|enabled|disabled)(?![\w-])"
+)
+# Side elements that no main text inside makes a wrapper.
+CLOSED_TAGS = frozenset("nav footer aside menu dialog".split())
+FORM_END = re.compile("</form(?=[\\s/>])", re.I)
 # A header outside the main text; one inside it holds its title.
 TOP_NAMES = re.compile(r"(?<![a-z])(?:header|masthead)(?![a-z])")
 MAIN_NAMES = re.compile(r"(?<![a-z])(?:article|post|entry|story|content|main)(?:-?(?:body|text|content))?(?![a-z])")
@@ -114,6 +121,9 @@ LABELLED = (
     there to the station, where no train stops.</p><p>+ It is four miles long and has no bend in it at all.</p>""",
     """<main><p>+ <a href=u>Nuts</a></p><p>+ Shells.</p><p>+ A nut has a shell that must be broken first if
     one wants to eat it.</p></main><div>Top</div>""",
+    """<form action=page.aspx><nav><a href=a>Start</a></nav><div class="site menu"><article class="post has-comments">
+    <h1>+ Glass</h1><p>+ Sand is melted in the oven until it runs, and what runs out of it is glass.</p><p>+ Hot.</p></article>
+    <div class=comments><p>My own oven was never hot enough for any of this, I am sorry to say.</p></div></div></form>""",
 )
 
 
@@ -128,6 +138,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
+    found_main = False
+    form_end = 0
 
     def close() -> None:
         nonlocal in_link
@@ -195,7 +207,22 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             else:
                 names = " ".join(NAMED.findall(rest)).lower() if rest else ""
                 chosen = name in ("article", "main") or bool(names and MAIN_NAMES.search(names))
-                marked = name in SIDE_TAGS or bool(names and SIDE_NAMES.search(names))
+                marked = bool(names and SIDE_NAMES.search(LAYOUT_NAMES.sub(" ", names)))
+                if name == "form":
+                    # One that spans half of the page is a frame around it.  Forms do not nest.
+                    if form_end < at:
+                        end = FORM_END.search(page, at)
+                        form_end = size if end is None else end.start()
+                    marked = marked or 2 * (form_end - at) < size
+                else:
+                    marked = marked or name in SIDE_TAGS
+                if name in ("article", "main") and not marked and (name == "main" or not found_main):
+                    if not any(p[0] in CLOSED_TAGS for p in places):
+                        # What holds the main text is a wrapper, whatever its names say.
+                        found_main = True
+                        if side:
+                            places = [(tag, False, inner) for tag, _, inner in places]
+                            side = False
                 if not (main or chosen):
                     marked = marked or name == "header" or bool(names and TOP_NAMES.search(names))
                 if name in OPEN_ENDED:

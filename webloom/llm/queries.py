@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm import (
     byte_bpe,
+    fill_middle,
     lattice_lm,
     main_text,
     packing,
@@ -63,6 +64,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_histogram_shards": op2_histogram_shards,
@@ -74,6 +79,9 @@ QUERIES = {
     "op9_spherical_caps": op9_spherical_caps,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_main_text": op10_main_text,
+    "op11_fill_middle": op11_fill_middle,
 }
 #: SQL for DuckDB, where it can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_fill_middle": fill_middle.SQL,
+}

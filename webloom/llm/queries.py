@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm import (
+    block_search,
     byte_bpe,
     fill_middle,
     lattice_lm,
@@ -68,6 +69,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(read(spark, sf_dir, "documents"))
 
 
+def op12_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.searched(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_histogram_shards": op2_histogram_shards,
@@ -80,8 +85,10 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op10_main_text": op10_main_text,
     "op11_fill_middle": op11_fill_middle,
+    "op12_block_search": op12_block_search,
 }
 #: SQL for DuckDB, where it can express the query.
 ORACLES: dict[str, str] = {
     "op11_fill_middle": fill_middle.SQL,
+    "op12_block_search": block_search.SQL,
 }

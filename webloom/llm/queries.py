@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from webloom.llm import (
     block_search,
     byte_bpe,
+    collocations,
     fill_middle,
     lattice_lm,
     main_text,
@@ -73,6 +74,10 @@ def op12_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_search.searched(read(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_histogram_shards": op2_histogram_shards,
@@ -86,9 +91,11 @@ QUERIES = {
     "op10_main_text": op10_main_text,
     "op11_fill_middle": op11_fill_middle,
     "op12_block_search": op12_block_search,
+    "op13_collocations": op13_collocations,
 }
 #: SQL for DuckDB, where it can express the query.
 ORACLES: dict[str, str] = {
     "op11_fill_middle": fill_middle.SQL,
     "op12_block_search": block_search.SQL,
+    "op13_collocations": collocations.SQL,
 }

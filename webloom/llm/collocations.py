@@ -493,11 +493,10 @@ SQL = rf"""
 WITH pieces AS (
   SELECT coalesce(lang, '{NO_LANG}') AS lang, unnest(string_split_regex(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[.,;:!?
--]')) AS piece
+    '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents
 ), split AS (
-  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM pieces
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
 ), grams AS (
   SELECT lang, m, unnest([array_to_string(ws[i:i + m - 1], ' ') FOR i IN range(1, len(ws) - m + 2)]) AS phrase
   FROM split, (VALUES (1), (2), (3), (4)) AS sizes(m)

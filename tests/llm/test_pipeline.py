@@ -1,5 +1,6 @@
 """The pipeline against one that compares everything with everything."""
 
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -7,7 +8,7 @@ import tokenizers
 
 import corpus_pipeline
 from tests.llm.conftest import prose
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import changed, plain_kept
 from webloom.llm import packing
 from webloom.llm import queries as Q
 from webloom.llm import toxicity as T
@@ -18,6 +19,8 @@ def corpus():
     pairs = [(k, prose(k, 40 + k % 90)) for k in range(200)]
     pairs += [(300 + k, prose(900 + k, 60) + " vermin scum " + prose(k, 30)) for k in range(60)]
     pairs += [(400 + k, pairs[k][1]) for k in range(15)]
+    rng = random.Random(4)
+    pairs += [(415 + k, changed(pairs[80 + k][1].split(), 1, rng)) for k in range(16)]
     pairs += [(500 + k, f"{prose(700 + k, 30)} {passage} {prose(800 + k, 20)}") for k in range(12)]
     return pairs + [(600, ""), (601, None)]
 
@@ -36,12 +39,9 @@ def test_stages(spark, make_docs, tmp_path):
     assert rejected == {i for i, y in labels if y}
     kept = [(i, t) for i, t in pairs if i not in rejected]
 
-    prints = {i: plain_fingerprint(t) for i, t in kept}
-    least = {}
-    for i, p in prints.items():
-        least[p] = min(i, least.get(p, i))
-    roots = plain_components(least)
-    kept = [(i, t) for i, t in kept if roots[prints[i]] == i]
+    alone = set(plain_kept(kept))
+    kept = [(i, t) for i, t in kept if i in alone]
+    assert 415 not in alone and 430 in alone
 
     first, cleaned = {}, {}
     for i, t in sorted(kept):
@@ -70,6 +70,13 @@ def test_stages(spark, make_docs, tmp_path):
     assert Counter((r.doc_id, r.piece, r.start, r.length) for r in rows) == want
 
 
+def test_own_columns_of_the_input_stay(spark, make_docs, tmp_path):
+    rows = make_docs([(1, "a b"), (2, None), (3, "c")])
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = corpus_pipeline.toxic_documents(spark, rows, str(tmp_path))
+    assert stage.columns == rows.columns and sorted(stage.collect(), key=str) == sorted(rows.collect(), key=str)
+
+
 def test_empty_tables(spark, no_docs, tmp_path):
     no_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -81,4 +88,4 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and set(Q.QUERIES) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))

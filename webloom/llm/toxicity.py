@@ -185,6 +185,11 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
 
 
+def accepted(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows of ``docs`` that score below REJECT, with the columns they have."""
+    return docs.where(F.pandas_udf(_scorer(machine), "double")(F.col("text")) < REJECT)
+
+
 def _scorer(machine: Machine):
     import pandas as pd
 

@@ -107,3 +107,13 @@ def test_literals_of_added_tokens(make_docs):
     found = P.pieces(make_docs(list(enumerate(texts))), PATH, with_ids=True).collect()
     want = {k: [*t.encode(x, add_special_tokens=False).ids, 2] for k, x in enumerate(texts)}
     assert {r.doc_id: r.ids for r in found} == want and 50256 in want[0]
+
+
+def test_long_runs(make_docs):
+    t = tokenizers.Tokenizer.from_file(PATH)
+    texts = [" " * 1_000_000 + "a", "\n" * 1_000_000 + "a <|endoftext|>", "ab" * 500_000]
+    found = P.pieces(make_docs(list(enumerate(texts))), PATH).collect()
+    for k, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")
+        want = [(a, n, zlib.crc32(ids[a : a + n].tobytes())) for a, n in P.cuts(len(ids))]
+        assert sorted((r.start, r.length, r.ids_crc32) for r in found if r.doc_id == k) == want

@@ -48,9 +48,10 @@ SHARD = 2_000_000
 MEMORY = 500_000
 #: Bytes of text for each prefix range, and the most ranges (the driver holds a splitter for each).
 RANGE_BYTES = 12 << 20
-MOST_RANGES = 1 << 17
-#: Windows that splitters are chosen from, for each range, and the bytes of text they are taken from.
-SAMPLE, SAMPLE_BYTES = 64, 32 << 20
+MOST_RANGES = 1 << 16
+#: Windows that splitters are chosen from, for each range (the driver takes twice as many at most), the
+#: bytes of text they are taken from, at least and for each range, and the usual bytes of a word.
+SAMPLE, SAMPLE_BYTES, SAMPLE_BYTES_EACH, WORD_BYTES = 16, 32 << 20, 4096, 7
 #: Phrases that one task composes with the counts.
 COMPOSED = 500_000
 
@@ -294,29 +295,26 @@ def splitters(docs: DataFrame, ranges: int, size: int) -> list[tuple]:
     if ranges < 2:
         return []
 
+    taken = max(SAMPLE_BYTES, SAMPLE_BYTES_EACH * ranges)
+    # Evenly spaced windows, about SAMPLE for each range; each stands for as many others.
+    step = max(1, min(size, taken) // (WORD_BYTES * SAMPLE * ranges))
+
     def run(batches: Iterator[pa.RecordBatch]):
         for lang, automaton in shards(batches):
-            n = len(automaton.weights)
-            # Evenly spaced windows: each stands for as many others.
-            step = max(1, n // 20_000)
             columns = [c[step // 2 :: step] for c in automaton.columns]
             names = np.array([b"", *automaton.words], object)
             cells = [names[c].tolist() for c in columns]
-            yield {"lang": [lang] * len(cells[0]), "weight": [step] * len(cells[0]), **dict(zip(KEYS, cells))}
+            yield {"lang": [lang] * len(cells[0]), **dict(zip(KEYS, cells))}
 
-    every = max(1, -(-size // SAMPLE_BYTES))
+    every = max(1, -(-size // taken))
     sample = docs.where(F.pmod(F.xxhash64("lang", "text"), F.lit(every)) == 0)
     names = ", ".join(f"{k} binary" for k in KEYS)
-    keys = arrow_map(sample, run, f"lang string, weight bigint, {names}")
+    keys = arrow_map(sample, run, f"lang string, {names}")
     # Long words are no good splitters; they lie in the range of their neighbours.
     short = keys.where(" and ".join(f"length({k}) <= 64" for k in KEYS))
-    rows = short.orderBy(F.xxhash64(*KEYS), *KEYS).limit(SAMPLE * ranges).collect()
-    found = sorted((r["lang"].encode(), *(bytes(r[k]) for k in KEYS), r["weight"]) for r in rows)
-    if not found:
-        return []
-    total = np.cumsum([f[-1] for f in found])
-    at = np.searchsorted(total, total[-1] * np.arange(1, ranges) / ranges)
-    return sorted({found[k][:-1] for k in np.minimum(at, len(found) - 1).tolist()})
+    rows = short.orderBy(F.xxhash64(*KEYS), *KEYS).limit(2 * SAMPLE * ranges).collect()
+    found = sorted((r["lang"].encode(), *(bytes(r[k]) for k in KEYS)) for r in rows)
+    return sorted({found[k * len(found) // ranges] for k in range(1, ranges)}) if found else []
 
 
 def _ranges_of(lang: bytes, cuts: Sequence[tuple]) -> tuple[int, list[tuple]]:
@@ -369,7 +367,8 @@ def counted(docs: DataFrame, least: int = LEAST, range_bytes: int = RANGE_BYTES)
         yield from closed()
 
     slices_ = arrow_map(docs, sent, "range int, lang string, automaton binary")
-    dealt = slices_.repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "lang")
+    # One task for a range; by a hash of the range some tasks would have several.
+    dealt = slices_.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "lang")
     paths = arrow_map(dealt, united, COUNTS)
     total = paths.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
     return total.where((F.col("f") >= least) | (F.col("words") == 0))

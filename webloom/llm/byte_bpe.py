@@ -29,6 +29,8 @@ NONE = np.int32(2**31 - 1)
 MEMORY = 200_000
 #: Bytes of text that are split into pre-tokens at once.
 SLICE = 6 << 20
+#: Tokens that are decoded at once.
+PIECES = 1 << 20
 
 
 class RankBitmap:
@@ -230,21 +232,37 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>")
 
 
+class Decoder:
+    """Bytes of ids: the bytes of all tokens in a row, and where each token lies in them."""
+
+    def __init__(self, token: Sequence[bytes]):
+        self.size = np.array([len(t) for t in token], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(token), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        out = []
+        for a in range(0, len(ids), PIECES):
+            part = ids[a : a + PIECES]
+            size = self.size[part]
+            end = np.cumsum(size)
+            at = np.arange(end[-1]) + np.repeat(self.start[part] - (end - size), size)
+            out.append(self.raw[at].tobytes())
+        return b"".join(out)
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of the tokens in ``ids``; null ids give no bytes."""
     with open(vocabulary, "rb") as file:
         lines = encoded.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]):
-        token = tokens(lines.value)
+        bytes_of = Decoder(tokens(lines.value))
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 lists = part.column("ids")
-                out = [
-                    b"".join(map(token.__getitem__, x.values.to_pylist())) if x.is_valid else b""
-                    for x in lists
-                ]
+                out = [bytes_of(x.values.to_numpy()) if x.is_valid else b"" for x in lists]
                 yield {"doc_id": part.column("doc_id"), "ids": lists, "decoded": out}
 
     return arrow_map(

@@ -560,8 +560,12 @@ RAW_FINALS: dict[str, str] = {
     "failure_numbers": """SELECT printf('%05d', 7 + row_number() OVER (ORDER BY page_id, step_no)) AS number, page_id, step, error FROM (
         SELECT page_id, 1 AS step_no, 'drop head end' AS step, 'HTML validation failed: missing </head>' AS error FROM steps WHERE c1 <> html
         UNION ALL SELECT page_id, 3, 'drop body', e3 FROM steps WHERE c3 <> t2)""",
-    "folder_pages": "SELECT page_id, html || chr(10) AS html FROM pages",
-    "folder_inventory": "SELECT page_id, octet_length(encode(html)) + 1 AS length FROM pages",
+    "folder_pages": "SELECT page_id, html FROM pages WHERE html <> ''",
+    "folder_inventory": "SELECT page_id, octet_length(encode(html)) AS length FROM pages",
+    "folder_stylesheets": """SELECT target_domain || '/' || path AS path, 'https://example.org/' || target_domain || '/' || path AS url,
+        CASE WHEN length(css) % 11 = 0 THEN '' ELSE css END AS css FROM sheets""",
+    "written_back": f"""SELECT page_id, n AS new_html FROM (
+        SELECT page_id, {scripts_cleaned(styled('new_html'))} AS n FROM cleaned) WHERE n <> ''""",
     "failed_url_file": "SELECT url FROM fetch_log WHERE status <> 0",
     "loaded_settings": """SELECT (count(*) % 50 + 1)::INT AS timeout, (max(page_id) % 7)::INT AS max_depth, 3 AS retries,
         max(url) || ' action=' AS patterns FROM pages""",

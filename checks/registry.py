@@ -30,7 +30,7 @@ from webloom.operators import (
 from webloom.plans import mirror
 from webloom.session import cut_lineage, shared_folder
 from webloom.sources import files as file_tables
-from webloom.sources import settings
+from webloom.sources import folders, settings
 from webloom.streaming import jobs
 
 PATTERNS = ("action=", "Special:", "sort=", "f=[0-9]+&")
@@ -203,31 +203,69 @@ def failure_numbers(spark, sf_dir):
     )
 
 
-def _page_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The given pages as files below the shared folder, one in a folder named by its page."""
-    folder = f"{shared_folder(spark)}/pages/{uuid.uuid4().hex}"
-    raw_pages(spark, sf_dir).select("page_id", "html").write.partitionBy("page_id").text(folder)
+def _folder(spark: SparkSession, rows: DataFrame, column: str) -> str:
+    """Texts as files at their paths below the shared folder."""
+    folder = f"{shared_folder(spark)}/sites/{uuid.uuid4().hex}"
+    folders.write_texts(rows, column, folder)
     return folder
 
 
+def _page_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The given pages as files, dealt into a few folders, one of them within another."""
+    place = F.concat(F.lit("d"), F.col("page_id") % 23, F.when(F.col("page_id") % 2 == 0, "/_e").otherwise(""))
+    path = F.concat(place, F.lit("/p"), "page_id", F.when(F.col("page_id") % 3 == 0, ".htm").otherwise(".html"))
+    return _folder(spark, raw_pages(spark, sf_dir).select(path.alias("path"), "html"), "html")
+
+
 def _page_of(path: str) -> Column:
-    return F.regexp_extract(path, "page_id=([0-9]+)", 1).cast("bigint").alias("page_id")
+    return F.regexp_extract(path, "p([0-9]+)\\.html?$", 1).cast("bigint").alias("page_id")
 
 
 @query
 def folder_pages(spark, sf_dir):
-    """Files scanned as texts; the writer ends each with a line feed."""
-    found = file_tables.texts(spark, _page_folder(spark, sf_dir), "*.txt", "html")
+    """Files scanned as pages."""
+    found = file_tables.read_pages(spark, _page_folder(spark, sf_dir), "example.org")
     return found.select(_page_of("path"), "html")
 
 
 @query
 def folder_inventory(spark, sf_dir):
-    return file_tables.inventory(spark, _page_folder(spark, sf_dir), "*.txt").select(
+    return file_tables.inventory(spark, _page_folder(spark, sf_dir), "*.{html,htm}").select(
         _page_of("path"), "length"
     )
 
 
+def _sheet_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Stylesheets of all sites as files, each site in a folder; some are empty."""
+    rows = site_sheets(spark, sf_dir).select(
+        F.concat("target_domain", F.lit("/"), "path").alias("path"),
+        F.when(F.length("css") % 11 == 0, "").otherwise(F.col("css")).alias("css"),
+    )
+    return _folder(spark, rows, "css")
+
+
+@query
+def folder_stylesheets(spark, sf_dir):
+    """The stylesheet scan of one folder that holds all sites, empty files among them."""
+    found = file_tables.read_stylesheets(spark, _sheet_folder(spark, sf_dir), "example.org")
+    return found.select("path", "url", "css")
+
+
+@query
+def written_back(spark, sf_dir):
+    """Cleaned pages written over the files they came from, and the whole folder read again."""
+    pages = pages_with_path(spark, sf_dir).withColumn("path", F.concat_ws("/", "target_domain", F.col("page_id") % 7, _file_name()))
+    folder = _folder(spark, pages, "html")
+    cleaned = offline.clean_pages(pages)
+    file_tables.write_back(cleaned, "html", "new_html", folder)
+    found = file_tables.texts(spark, folder, "*.html", "new_html")
+    return found.select(_page_of("path"), "new_html")
+
+
+def _file_name() -> Column:
+    return F.concat(F.lit("p"), "page_id", F.lit(".html"))
+
+
 @query
 def failed_url_file(spark, sf_dir):
     """The list of failed URLs as a text file, read back."""

@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators import report, rewrite
-from webloom.sources import files, settings
+from webloom.sources import files, folders, settings
 
 
 def test_folder_scan(spark, tmp_path):
@@ -25,6 +26,54 @@ def test_folder_scan(spark, tmp_path):
     }
 
 
+def test_listing_is_no_local_relation(spark, tmp_path):
+    """Folders are the partitions; neither a list of paths nor a file index stands in the plan."""
+    for k in range(90):
+        (tmp_path / f"d{k}" / "_deep" / ".x").mkdir(parents=True)
+        (tmp_path / f"d{k}" / "_deep" / ".x" / "p {a}.css").write_text("a" * k)
+    (tmp_path / "top.css").write_text("é")
+    (tmp_path / "top.cssx").write_text("no")
+    found = files.inventory(spark, str(tmp_path), "*.css")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "BatchScan webloom_folder" in plan
+    assert found.rdd.getNumPartitions() > 60
+    want = {(f"d{k}/_deep/.x/p {{a}}.css", k) for k in range(90)} | {("top.css", 2)}
+    assert set(map(tuple, found.collect())) == want
+    assert files.texts(spark, str(tmp_path), "*.css", "css").count() == 90
+    assert files.texts(spark, str(tmp_path), "*.css", "css", with_empty=True).count() == 91
+
+
+def test_one_folder_with_most_files(spark, tmp_path):
+    """Contents are dealt by file, not by folder."""
+    for k in range(300):
+        (tmp_path / f"{k}.css").write_text(str(k))
+    found = folders.contents(spark, str(tmp_path), folders.listed(spark, str(tmp_path)), "css")
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 2 and max(r["count"] for r in sizes) < 200
+    assert {r.path: r.css for r in found.collect()} == {f"{k}.css": str(k) for k in range(300)}
+
+
+def test_globs_and_missing_folder(spark, tmp_path):
+    fits = folders.name_test("*.{html,htm}")
+    assert fits.match("a.html") and fits.match(".htm") and not fits.match("a.xhtml.b") and not fits.match("a.HTML")
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        files.inventory(spark, str(tmp_path / "gone")).count()
+
+
+def test_write_back(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("a/b.html", "old", "new é"), ("c.html", "same", "same"), ("n.html", "x", None)],
+        "path string, html string, new_html string",
+    )
+    folder = str(tmp_path / "site")
+    assert folders.write_texts(rows, "html", folder) == 3
+    before = (tmp_path / "site" / "c.html").stat().st_mtime_ns
+    assert files.write_back(rows, "html", "new_html", folder) == 1
+    assert (tmp_path / "site" / "a" / "b.html").read_text() == "new é"
+    assert (tmp_path / "site" / "c.html").stat().st_mtime_ns == before
+    assert {r.path for r in files.inventory(spark, folder).collect()} == {"a/b.html", "c.html", "n.html"}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "a"), (2, "a", "b"), (3, None, "c")], "id int, old string, new string")
     assert sorted(r.id for r in files.changed_only(df, "old", "new").collect()) == [2, 3]

@@ -2,70 +2,25 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
 from webloom.operators.rewrite import numbered_failures
-
-
-def _relative(folder: str):
-    """Path below the scanned folder."""
-    root = folder.rstrip("/").split("://")[-1]
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    return F.expr("substring(_plain, instr(_plain, _root) + length(_root) + 1)"), {
-        "_plain": plain,
-        "_root": F.lit(root),
-    }
-
-
-def _below(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(folder)
-    )
-
-
-def _without_content(files: DataFrame) -> DataFrame:
-    """Paths of empty files: the file source lists them, but gives no rows for them.
-
-    The list of files is one that the driver holds for every file source.
-    """
-    listed = [(unquote(p),) for p in files.inputFiles()]
-    paths = files.sparkSession.createDataFrame(listed, "path string")
-    # Both write a path with or without empty authority.
-    plain = F.regexp_replace("path", "^([a-z0-9]+):/*", "$1:/")
-    with_content = files.select(plain.alias("_plain_path"))
-    return paths.join(with_content, plain == F.col("_plain_path"), "left_anti")
+from webloom.sources import folders
 
 
 def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """All files below a folder: (path, length); contents are not read."""
-    relative, helpers = _relative(folder)
-    files = _below(spark, folder, glob)
-    empty = _without_content(files).withColumn("length", F.lit(0).cast("bigint"))
-    found = files.select("path", "length").unionByName(empty)
-    return found.withColumns(helpers).select(relative.alias("path"), "length")
+    return folders.listed(spark, folder, glob)
 
 
 def texts(
     spark: SparkSession, folder: str, glob: str, column: str, with_empty: bool = False
 ) -> DataFrame:
     """Text files as (path, <column>); invalid bytes are dropped, and empty files if not asked for."""
-    relative, helpers = _relative(folder)
-    raw = F.col("content").cast("string")
-    decoded = F.when(F.is_valid_utf8(raw), raw).otherwise(
-        F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
-    )
-    files = _below(spark, folder, glob)
-    found = files.select("path", decoded.alias(column)).where(F.col(column) != "")
-    if with_empty:
-        found = found.unionByName(_without_content(files).withColumn(column, F.lit("")))
-    return found.withColumns(helpers).select(relative.alias("path"), column)
+    found = folders.contents(spark, folder, folders.listed(spark, folder, glob), column)
+    return found if with_empty else found.where(F.col(column) != "")
 
 
 def read_pages(spark: SparkSession, folder: str, target_domain: str) -> DataFrame:
@@ -100,6 +55,11 @@ def write_changed(df: DataFrame, old: str, new: str, folder: str) -> None:
     changed_only(df, old, new).write.mode("append").parquet(folder)
 
 
+def write_back(df: DataFrame, old: str, new: str, folder: str) -> int:
+    """Write changed texts to the files they came from (``path`` below ``folder``); number of files written."""
+    return folders.write_texts(changed_only(df, old, new), new, folder)
+
+
 def write_url_list(urls: DataFrame, folder: str) -> None:
     """One URL per line."""
     urls.select("url").write.mode("overwrite").text(folder)

@@ -83,36 +83,74 @@ def test_politeness_with_jitter(spark):
     assert rows[0].start_ms == 0 and all(500 <= s <= 1500 for s in steps)
 
 
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_a_round_moves_only_what_it_finds(spark):
-    """Frontier, edges and all parts of what was seen keep their layout: one exchange, of the found URLs."""
+    """Edges keep their layout, and what is found is aggregated before and after its exchange."""
     from webloom.session import cut_lineage
 
-    def placed(rows):
-        df = spark.createDataFrame(rows, "target_domain string, url string, dst_url string")
-        return cut_lineage(df.repartition(2, *crawl.NODE).sortWithinPartitions(*crawl.NODE), keep_layout=True)
-
-    edges = placed([("d", a, b) for a, b in EDGES])
-    parts = [placed([("d", "s", "")]), placed([("d", "b", "")])]
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in (0, a + 1)], "src long, dst long")
+    outgoing = cut_lineage(pairs.repartition(2, "src").sortWithinPartitions("src"), keep_layout=True)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    frontier = cut_lineage(spark.range(40).select(F.col("id").alias("node")))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = crawl.newly_found(parts[1].select(*crawl.NODE), edges, parts, 1, 2)
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 3
-        assert {r.url for r in found.collect()} == {"c"}
+        plan = plan_of(crawl.newly_found(frontier, outgoing))
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [x for x in plan.splitlines() if "Exchange" in x or "HashAggregate" in x]
+    kinds = ["Exchange" if "Exchange" in x else "Aggregate" for x in lines]
+    # From the top: final aggregate, exchange, partial aggregate; below, only the frontier is moved to the edges.
+    assert kinds == ["Aggregate", "Exchange", "Aggregate", "Exchange"] and "SortMergeJoin" in plan
+
+
+def test_a_url_that_a_third_of_all_pages_link_to(spark):
+    """No task after the numbering reads more than a row of it for each task before."""
+    n = 6000
+    edges = spark.range(n).select(
+        F.lit("d").alias("target_domain"),
+        F.format_string("u%d", "id").alias("src_url"),
+        F.explode(F.array(F.format_string("u%d", F.col("id") * 2 + 1), F.format_string("u%d", F.col("id") * 2 + 2),
+                          F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.lit("u0")))).alias("dst_url"),
+    )
+    seeds = spark.createDataFrame([("d", "u0")], "target_domain string, url string")
+    urls, pairs, start = crawl.numbered(edges, seeds)
+    assert start.count() == 1 and urls.count() == urls.select("node").distinct().count() == 2 * n + 2
+    assert pairs.count() == 3 * n
+    found = crawl.newly_found(urls.select("node"), pairs)
+    wide = found._jdf.queryExecution().executedPlan().toString()
+    assert wide.index("HashAggregate") < wide.index("Exchange hashpartitioning(node") < wide.rindex("HashAggregate")
+    depth = {r.url: r.depth for r in crawl.reachable(edges, seeds).collect()}
+    assert len(depth) == 2 * n + 2 and depth["hot"] == 1 and depth["u0"] == 0 and depth["u6"] == 2
+
+
+def test_bitmaps(spark):
+    def step(numbers, state):
+        found = spark.createDataFrame([(x,) for x in numbers], "node long")
+        out = crawl.unseen(found, state)
+        return sorted(r.node for r in out.where("node is not null").collect()), out
+
+    high = 5 << crawl.PLACE_BITS
+    first, state = step([0, 7, 8, high + 100], None)
+    assert first == [0, 7, 8, high + 100]
+    second, state = step([8, 9, high + 3, (1 << crawl.PLACE_BITS) + 1], state)
+    assert second == [9, (1 << crawl.PLACE_BITS) + 1, high + 3]
+    third, state = step([], state)
+    assert third == [] and state.where("bits is not null").count() == 3
+    assert step([0, 1, 7, 9, high + 3, high + 100], state)[0] == [1]
 
 
 def test_long_chain(spark):
-    """Many rounds, so that parts of what was seen are merged."""
-    edges = [("d", f"n{k}", f"n{k + 1}") for k in range(9)] + [("d", f"n{k}", "n0") for k in range(9)]
+    """Many rounds, so that their tables are merged."""
+    edges = [("d", f"n{k}", f"n{k + 1}") for k in range(20)] + [("d", f"n{k}", "n0") for k in range(20)]
     rows = crawl.reachable(
         spark.createDataFrame(edges, "target_domain string, src_url string, dst_url string"),
         spark.createDataFrame([("d", "n0")], "target_domain string, url string"),
     ).collect()
-    assert {r.url: r.depth for r in rows} == {f"n{k}": k for k in range(10)}
+    assert {r.url: r.depth for r in rows} == {f"n{k}": k for k in range(21)}
 
 
 def test_figures(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ from webloom.functions import urls as U
 from webloom.functions.binding import pin
 from webloom.operators.joins import running_total, tiles
 from webloom.operators.links import css_edges, html_edges
-from webloom.session import cut_lineage, shuffle_width
+from webloom.session import cut_lineage, shuffle_width, stored
 
 NODE = ["target_domain", "url"]
-#: Parts of the URLs seen that a round compares with, before small ones are merged.
-MOST_PARTS = 5
+#: Bits of a URL's number that are its place in its partition, as ``monotonically_increasing_id`` gives them.
+PLACE_BITS = 33
+#: Tables of a round each before they become one.
+MOST_LEVELS = 16
+STATE = "part bigint, node bigint, bits binary"
 
 
 def crawl_edges(
@@ -33,60 +38,92 @@ def crawl_edges(
     )
 
 
+def numbered(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """URLs as (target_domain, url, node), edges as (src, dst), seeds as (node): a number for each URL.
+
+    A number is the partition of the URL in the table of URLs and its place there, so the numbers of a
+    partition are dense.
+    """
+    # Stored as texts once: finding them is the dear part.
+    edges = stored(edges.select("target_domain", "src_url", "dst_url"), "crawl-edges")
+    ends = [edges.select("target_domain", F.col(c).alias("url")) for c in ("src_url", "dst_url")]
+    every = reduce(DataFrame.unionByName, [*ends, seeds.select(*NODE)]).distinct()
+    urls = stored(every.withColumn("node", F.monotonically_increasing_id()), "crawl-urls")
+
+    def numbers(rows: DataFrame, column: str, name: str) -> DataFrame:
+        named = urls.withColumnsRenamed({"url": column, "node": name})
+        return rows.join(named, ["target_domain", column]).drop(column)
+
+    pairs = numbers(numbers(edges, "src_url", "src"), "dst_url", "dst").drop("target_domain")
+    return urls, pairs, numbers(seeds.select(*NODE), "url", "node").select("node")
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 0) -> DataFrame:
     """Breadth-first search of all sites at once: (target_domain, url, depth, processed).
 
     ``max_depth`` 0 has no limit; otherwise URLs one level deeper are seen but not processed.
-    Edges and URLs seen are partitioned and sorted alike and keep their layout in checkpoints, so a
-    round shuffles only the URLs it finds.  After every few rounds the small parts of what was seen are
-    merged, and the large one with them only when they have outgrown it.
-    ``pin`` keeps the conditions that made the edges from being tested again on every frontier.
+    URLs are numbered first, and rounds move numbers only.  Edges are partitioned and sorted by their
+    source and keep that layout in a checkpoint.  What was seen is a bitmap for each partition of numbers,
+    a bit for a URL; a round aggregates what it finds before it is shuffled, and looks it up there.
     """
     width = shuffle_width(edges.sparkSession)
-
-    def kept(rows: DataFrame) -> DataFrame:
-        return cut_lineage(rows.sortWithinPartitions(*NODE), keep_layout=True)
-
-    def placed(rows: DataFrame) -> DataFrame:
-        return kept(rows.repartition(width, *NODE))
-
-    outgoing = placed(
-        pin(edges.select("target_domain", "src_url", "dst_url"), url=F.col("src_url")).drop("src_url")
-    )
+    urls, pairs, start = numbered(edges, seeds)
+    by_source = pairs.repartition(width, "src").distinct().sortWithinPartitions("src")
+    outgoing = cut_lineage(by_source, keep_layout=True)
     level = 0
-    frontier = placed(seeds.select(*NODE).distinct().withColumn("depth", F.lit(0)))
-    size = frontier.count()
-    parts = [(size, frontier)]
+    state = stored(unseen(start.distinct(), None), "crawl-round")
+    frontier, size = _round(state, level)
+    levels = [frontier]
     while (max_depth == 0 or level <= max_depth) and size:
         level += 1
-        frontier = kept(newly_found(frontier, outgoing, [p for _, p in parts], level, width))
-        size = frontier.count()
-        parts.append((size, frontier))
-        if len(parts) > MOST_PARTS:
-            # The largest part stays as it is while it outweighs the others.
-            parts.sort(key=lambda p: -p[0])
-            stay = 1 if parts[0][0] >= sum(n for n, _ in parts[1:]) else 0
-            merged = placed(reduce(DataFrame.unionByName, [p for _, p in parts[stay:]]))
-            parts[stay:] = [(sum(n for n, _ in parts[stay:]), merged)]
-    seen = reduce(DataFrame.unionByName, [p for _, p in parts])
+        state = stored(unseen(newly_found(frontier, outgoing), state), "crawl-round")
+        frontier, size = _round(state, level)
+        levels.append(frontier)
+        if len(levels) > MOST_LEVELS:
+            levels = [stored(reduce(DataFrame.unionByName, levels), "crawl-levels")]
+    seen = reduce(DataFrame.unionByName, levels)
     processed = F.lit(True) if max_depth == 0 else F.col("depth") <= max_depth
-    return seen.withColumn("processed", processed)
+    return urls.join(seen, "node").select(*NODE, "depth", processed.alias("processed"))
 
 
-def newly_found(
-    frontier: DataFrame, outgoing: DataFrame, seen: Sequence[DataFrame], level: int, width: int
-) -> DataFrame:
-    """URLs one step beyond the frontier that are in no part of what was seen."""
-    found = (
-        frontier.select(*NODE)
-        .join(outgoing, NODE)
-        .select("target_domain", F.col("dst_url").alias("url"))
-        .repartition(width, *NODE)
-        .distinct()
+def newly_found(frontier: DataFrame, outgoing: DataFrame) -> DataFrame:
+    """Numbers one step beyond the frontier, each once."""
+    step = frontier.select(F.col("node").alias("src")).join(outgoing, "src")
+    return step.select(F.col("dst").alias("node")).distinct()
+
+
+def unseen(found: DataFrame, state: DataFrame | None) -> DataFrame:
+    """What was not seen before, and what is seen from now on: rows (part, node) and rows (part, bits).
+
+    ``found`` has each number once; ``state`` is the result of the round before.
+    """
+    fresh = found.select(F.shiftright("node", PLACE_BITS).alias("part"), "node")
+    empty = found.sparkSession.createDataFrame([], STATE)
+    seen = (empty if state is None else state).where("bits is not null").select("part", "bits")
+    return fresh.groupBy("part").cogroup(seen.groupBy("part")).applyInArrow(_marked, STATE)
+
+
+def _marked(found: pa.Table, seen: pa.Table) -> pa.Table:
+    part = (found if found.num_rows else seen)["part"][0].as_py()
+    place = found["node"].to_numpy() & ((1 << PLACE_BITS) - 1)
+    old = np.frombuffer(seen["bits"][0].as_py() if seen.num_rows else b"", np.uint8)
+    bits = np.zeros(max(len(old), int(place.max(initial=-1)) // 8 + 1), np.uint8)
+    bits[: len(old)] = old
+    new = place[bits[place >> 3] >> (place & 7) & 1 == 0]
+    np.bitwise_or.at(bits, new >> 3, (1 << (new & 7)).astype(np.uint8))
+    n = len(new)
+    return pa.table(
+        {
+            "part": pa.array(np.full(n + 1, part), pa.int64()),
+            "node": pa.array([None, *((part << PLACE_BITS) + new).tolist()], pa.int64()),
+            "bits": pa.array([bits.tobytes(), *[None] * n], pa.binary()),
+        }
     )
-    for part in seen:
-        found = found.join(part.select(*NODE), NODE, "left_anti")
-    return found.withColumn("depth", F.lit(level))
+
+
+def _round(state: DataFrame, level: int) -> tuple[DataFrame, int]:
+    frontier = state.where("node is not null").select("node", F.lit(level).alias("depth"))
+    return frontier, frontier.count()
 
 
 def edges_of_available(edges: DataFrame, available: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution re-plans joins and splits skewed partitions at run time.
@@ -45,7 +47,7 @@ def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
 
     ``keep_layout`` also keeps partitioning and order, so later joins on the same keys do not
     shuffle these rows again.  An adaptive plan does not report its layout, so this one is planned
-    without adaptive execution; give it an explicit ``repartition``.
+    in a session of its own without adaptive execution; give it an explicit ``repartition``.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
@@ -53,12 +55,28 @@ def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     if not keep_layout:
         return df.checkpoint(eager=True)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set("spark.sql.adaptive.enabled", "false")
+    kept = _planned_in(df.select("*"), SparkSession(spark.sparkContext, own)).checkpoint(eager=True)
+    return _planned_in(kept, spark)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared folder and read it back: cuts lineage like a checkpoint.
+
+    The files tell their size.  A checkpoint keeps the estimate of its plan, and over the rounds of a
+    loop that joins what it made, estimates grow beyond all bounds.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _planned_in(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The same rows, planned with the settings of another session of this application."""
+    datasets = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset
+    return DataFrame(datasets.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed()), spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -1003,6 +1003,6 @@ def stream_page_verdicts(spark, sf_dir):
 def stream_missing_urls(spark, sf_dir):
     inventory = stored_files(spark, sf_dir)
     out, state = _stream_folders(spark)
-    found = jobs.discovered_urls(page_stream(spark, sf_dir), PATTERNS, DOMAINS)
+    found = jobs.discovered_urls(page_stream(spark, sf_dir), PATTERNS, DOMAINS, late=None)
     jobs.start_missing_urls(found, inventory, out, state).awaitTermination()
     return spark.read.parquet(out).select("target_domain", "url", "path")

@@ -33,6 +33,37 @@ def test_missing_urls_over_two_runs(spark, tmp_path):
     assert run() == ["https://d.org/2", "https://d.org/3", "https://d.org/4"]
 
 
+def test_no_batch_reads_what_an_earlier_one_wrote(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    nothing = spark.createDataFrame([], "target_domain string, path string")
+
+    def run():
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        found = jobs.discovered_urls(stream, late=None)
+        query = jobs.start_missing_urls(found, nothing, out, state)
+        query.awaitTermination()
+        return query
+
+    def files():
+        return set((tmp_path / "out").glob("*.parquet"))
+
+    arrive(spark, source, [page(n, n, "/hot", f"/{n}", "/hot#x") for n in range(40)])
+    query = run()
+    assert spark.read.parquet(out).count() == 41
+    metrics = query.lastProgress["stateOperators"][0]
+    assert metrics["numRowsTotal"] == 41 and any("rocksdb" in k for k in metrics["customMetrics"])
+    # The hot URL is one row for each task when it reaches the state, not one for each page.
+    assert metrics["customMetrics"]["numDroppedDuplicateRows"] < 8
+    first = files()
+    for file in first:
+        file.write_bytes(b"cannot be read")
+    arrive(spark, source, [page(100, 100, "/hot", "/7", "/new")])
+    run()
+    new = files() - first
+    assert [r.url for f in new for r in spark.read.parquet(str(f)).collect()] == ["https://d.org/new"]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "none").endswith(("none", "HDFSBackedStateStoreProvider"))
+
+
 def test_issue_counts_equal_batch(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     arrive(spark, source, [page(n, n) for n in range(60)])

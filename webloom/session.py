@@ -55,9 +55,7 @@ def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     if not keep_layout:
         return df.checkpoint(eager=True)
-    own = spark._jsparkSession.cloneSession()
-    own.conf().set("spark.sql.adaptive.enabled", "false")
-    kept = _planned_in(df.select("*"), SparkSession(spark.sparkContext, own)).checkpoint(eager=True)
+    kept = with_settings(df.select("*"), {"spark.sql.adaptive.enabled": "false"}).checkpoint(eager=True)
     return _planned_in(kept, spark)
 
 
@@ -73,6 +71,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_settings(df: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """The same rows in a copy of the session that differs in these settings; its own session keeps them as they are."""
+    spark = df.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    for key, value in settings.items():
+        own.conf().set(key, value)
+    return _planned_in(df, SparkSession(spark.sparkContext, own))
+
+
 def _planned_in(df: DataFrame, spark: SparkSession) -> DataFrame:
     """The same rows, planned with the settings of another session of this application."""
     datasets = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,10 +13,16 @@ from webloom.functions import urls as U
 from webloom.functions.binding import pin
 from webloom.operators.links import internal_links
 from webloom.operators.validate import check_pages, issue_rows
+from webloom.session import stored, with_settings
+from webloom.sources.folders import let_workers_import
 
 
-#: Divisions of a list of URLs.
-LIST_PARTS = 64
+URL = ["target_domain", "url"]
+#: State on the disks of executors instead of their heaps, with a log of changes in the checkpoint.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def issue_counts(
@@ -40,48 +47,54 @@ def discovered_urls(
     pages: DataFrame,
     patterns: Iterable[str] = (),
     domains: Iterable[str] = (),
-    late: str = "10 minutes",
+    late: str | None = "10 minutes",
 ) -> DataFrame:
-    """Internal URLs of arriving pages, each once within the watermark: (target_domain, url, ts)."""
+    """Internal URLs of arriving pages: (target_domain, url, ts).
+
+    In a stream each comes once within the watermark; without one (``late`` None) it may come again in
+    every batch, and no state is kept here.
+    """
     links = internal_links(
         pages, patterns, domains, keys=("page_id", "url", "target_domain", "ts")
     ).select("target_domain", F.col("norm_url").alias("url"), "ts")
     if not pages.isStreaming:
         return links.groupBy("target_domain", "url").agg(F.min("ts").alias("ts"))
-    return links.withWatermark("ts", late).dropDuplicatesWithinWatermark(["target_domain", "url"])
+    if late is None:
+        return links
+    return links.withWatermark("ts", late).dropDuplicatesWithinWatermark(URL)
+
+
+def thinned(urls: DataFrame) -> DataFrame:
+    """Repeated rows of (target_domain, url) taken out of each Arrow batch.
+
+    A stream drops duplicates only behind a shuffle.  Before it, a URL that a large share of all pages
+    link to becomes one row for each batch of many thousands.
+    """
+    let_workers_import(urls.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield from pa.Table.from_batches([batch]).group_by(URL).aggregate([]).to_batches()
+
+    return urls.select(*URL).mapInArrow(run, "target_domain string, url string")
 
 
 def start_missing_urls(
     discovered: DataFrame, inventory: DataFrame, folder: str, checkpoint: str
 ) -> StreamingQuery:
-    """Write discovered URLs that are not stored and not yet listed to ``folder``.
+    """Write discovered URLs that are not stored, each once, to ``folder``.
 
-    The watermark may forget a URL; the anti join with the rows of earlier batches keeps the list
-    free of duplicates.  The list is divided by a hash of the site and the URL, and a batch reads only the
-    divisions that its own URLs fall into.  A batch that is run again overwrites its own part.
+    URLs that were listed are keyed state, which grows with the list and lies in RocksDB on the
+    executors and in the checkpoint; no batch reads what earlier ones wrote.  The inventory is stored as a
+    table of paths first, so that a batch reads that and does not make it anew.  A batch that is run again
+    replaces its own files.
     """
-    stored = inventory.select("target_domain", "path").distinct()
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = (
-            pin(batch.select("target_domain", "url").distinct(), path=U.local_path(F.col("url")))
-            .join(stored, ["target_domain", "path"], "left_anti")
-            .withColumn("part", F.pmod(F.xxhash64("target_domain", "url"), F.lit(LIST_PARTS)).cast("int"))
-        )
-        if number > 0:
-            touched = [r["part"] for r in fresh.select("part").distinct().collect()]
-            listed = spark.read.schema(f"{fresh.schema.toDDL()}, batch INT").parquet(folder)
-            listed = listed.where((F.col("batch") < number) & F.col("part").isin(touched))
-            fresh = fresh.join(listed.drop("path", "batch"), ["part", "target_domain", "url"], "left_anti")
-        fresh.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/batch={number}")
-
-    return (
-        discovered.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    stored_paths = stored(inventory.select("target_domain", "path").distinct(), "stream-inventory")
+    missing = pin(thinned(discovered), path=U.local_path(F.col("url"))).join(
+        stored_paths, ["target_domain", "path"], "left_anti"
     )
+    listed = missing.select(*URL, "path").dropDuplicates(URL)
+    return start_append(with_settings(listed, ROCKSDB), folder, checkpoint)
 
 
 def start_counts(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

@@ -6,7 +6,7 @@ lists instead of array functions, recursive queries instead of rounds, and ranks
 
 from __future__ import annotations
 
-from checks.site_fixture import PAGES, SHEETS
+from checks.site_fixture import NESTED, PAGES, SHEETS
 
 # --- literals and expressions ---------------------------------------------------------------
 
@@ -708,6 +708,28 @@ RAW_FINALS["cached_urls"], RAW_FINALS["missing_urls"] = (
 RAW_FINALS["mirrored_totals"] = RAW_FINALS["site_totals"]
 
 ORACLES: dict[str, str] = {name: sql(final) for name, final in RAW_FINALS.items()}
+# Outermost elements by walking the tags of a page one after the other, the depth carried along.
+NOSCRIPT_TAG = rf"(?is){MASKED}|<noscript[^>]*>|</noscript\s*>"
+ORACLES["nested_removal"] = f"""WITH RECURSIVE nested AS MATERIALIZED ({NESTED}),
+  cut AS MATERIALIZED (SELECT page_id, regexp_extract_all(html, {q(NOSCRIPT_TAG)}) AS i, string_split_regex(html, {q(NOSCRIPT_TAG)}) AS g FROM nested),
+  walk AS (SELECT page_id, i, 1 AS k, 0 AS depth, 0 AS span FROM cut
+    UNION ALL SELECT page_id, i, k + 1, CASE WHEN {has('i[k]', '(?i)^<noscript')} THEN depth + 1
+        WHEN {has('i[k]', '(?i)^</noscript')} AND depth > 0 THEN depth - 1 ELSE depth END,
+      span + CASE WHEN depth = 0 AND {has('i[k]', '(?i)^<noscript')} THEN 1 ELSE 0 END
+    FROM walk WHERE k <= len(i)),
+  places AS (SELECT w.page_id, w.k, coalesce(w.i[w.k], '') AS item, c.g[w.k] AS gap,
+      CASE WHEN w.depth > 0 THEN w.span END AS gap_span,
+      CASE WHEN w.depth > 0 OR {has('w.i[w.k]', '(?i)^<noscript')} THEN w.span + CASE WHEN w.depth = 0 THEN 1 ELSE 0 END END AS item_span
+    FROM walk w JOIN cut c USING (page_id)),
+  gone AS (SELECT page_id, span FROM (
+      SELECT page_id, span, string_agg(part, '' ORDER BY k, o) AS t FROM (
+        SELECT page_id, k, 0 AS o, gap_span AS span, gap AS part FROM places UNION ALL SELECT page_id, k, 1, item_span, item FROM places)
+      WHERE span IS NOT NULL GROUP BY ALL)
+    WHERE {has(sub('t', '(?is)' + MASKED, ''), PIXEL)})
+  SELECT page_id, string_agg(CASE WHEN (page_id, gap_span) IN (SELECT (page_id, span) FROM gone) THEN '' ELSE gap END
+      || CASE WHEN (page_id, item_span) IN (SELECT (page_id, span) FROM gone) THEN '' ELSE item END, '' ORDER BY k) AS new_html,
+    (SELECT count(*) FROM gone o WHERE o.page_id = p.page_id)::INT AS removed
+  FROM places p GROUP BY page_id"""
 ORACLES["mirrored_pages"] = with_parts(cleaned_after("ext_pages"))
 ORACLES["resumed_pages"] = with_parts(cleaned_after("all_pages"))
 ORACLES["early_exit_pages"] = with_parts(cleaned_after("pages7"))

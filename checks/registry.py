@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from checks.site_fixture import PAGES, built, derived, raw_pages, site_pages, site_sheets
+from checks.site_fixture import NESTED, PAGES, built, derived, raw_pages, site_pages, site_sheets
 from webloom.functions import html as H
 from webloom.functions import urls as U
 from webloom.functions.binding import pin
@@ -776,6 +776,14 @@ def removed_elements(spark, sf_dir):
     )
 
 
+@query
+def nested_removal(spark, sf_dir):
+    """Elements inside elements of the same name, unclosed ones and stray end tags among them."""
+    pages = built(derived(spark, raw_pages(spark, sf_dir), NESTED))
+    rules = [r for r in offline.REMOVAL_RULES if r.tag == "noscript"]
+    return offline.remove_elements(pages, rules=rules).select("page_id", "new_html", "removed")
+
+
 @query
 def fallback_style(spark, sf_dir):
     return site_pages(spark, sf_dir).select(

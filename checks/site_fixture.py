@@ -88,6 +88,20 @@ FROM pages
 """.replace("{{", "{").replace("}}", "}")
 
 
+# Pages with nested elements: page n opens n % 4 and n % 3 of them and closes more, as many or fewer.
+NESTED = """
+SELECT page_id, concat('<p>', page_id, '</p>', repeat('<noscript>', CAST(page_id % 4 AS INT)), '<i>x</i>',
+  repeat('<NOSCRIPT class=a>', CAST(page_id % 3 AS INT)),
+  CASE page_id % 5 WHEN 0 THEN '<img src="https://matomo.example.org/a.png">' WHEN 1 THEN '<img src="/b.png">'
+    WHEN 2 THEN '<!-- <noscript> <img src="//matomo.example.org/x"> -->'
+    WHEN 3 THEN '<textarea></noscript><img src="//matomo.example.org/y"></textarea>' ELSE 'text' END,
+  repeat('</noscript>', CAST(page_id % 3 AS INT)), '<b>y</b>',
+  CASE page_id % 7 WHEN 3 THEN '<img alt=a src="//doubleclick.example.org/i">' ELSE '' END,
+  repeat('</noscript >', CAST(page_id % 4 + page_id % 11 % 3 - 1 AS INT)), html) AS html
+FROM pages
+"""
+
+
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 

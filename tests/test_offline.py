@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from webloom.operators import offline
@@ -93,3 +96,45 @@ def test_script_calls(one):
         "ga('send', 'pageview')",
     ]
     assert one(offline.clean_scripts, texts) == ["a();b()", "_qx", "_qx", "1;2", ""]
+
+
+def outermost(html):
+    """(rest, removed) by a stack over the tags, one after the other."""
+    mask = r"<!--.*?(?:-->|$)|<(?:script|style|textarea|title)\b.*?(?:</(?:script|style|textarea|title)>|$)"
+    out, depth, start, removed, at = [], 0, 0, 0, 0
+    for m in re.finditer(rf"(?is){mask}|<(/?)noscript(?=[\s/>])[^>]*>", html):
+        if m[0].lower().startswith("<noscript"):
+            if depth == 0:
+                out.append(html[at : m.start()])
+                start = m.start()
+            depth += 1
+        elif m[0].lower().startswith("</noscript") and depth:
+            depth -= 1
+            if depth == 0:
+                removed += close(out, html[start : m.end()], mask)
+                at = m.end()
+    if depth:
+        removed += close(out, html[start:], mask)
+        at = len(html)
+    return "".join(out) + html[at:], removed
+
+
+def close(out, element, mask):
+    plain = re.sub(f"(?is){mask}", "", element)
+    if re.search(r"(?i)<img[^>]*src=[^>]*matomo", plain):
+        return 1
+    out.append(element)
+    return 0
+
+
+def test_nested_elements_against_a_stack(spark, page_table):
+    rng = random.Random(5)
+    parts = ["<noscript>", "<NOSCRIPT class=x>", "</noscript>", "</noscript >", "<img src='//matomo.org/x'>", "<img src='a.png'>",
+             "t", "<b>", "<!-- <noscript> -->", "<textarea></noscript></textarea>", "<noscripts>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(400)]
+    texts += ["<noscript><noscript>a</noscript><img src='//matomo.org/x'></noscript>b", "</noscript>" * 50 + "<noscript>" * 50 + "<img src='//matomo.org/x'>"]
+    pages = page_table(*((f"{k}.html", t) for k, t in enumerate(texts)))
+    rules = (offline.RemovalRule("noscript", nested_img_src="matomo"),)
+    got = offline.remove_elements(pages, rules=rules).orderBy("page_id").collect()
+    assert [(r.new_html, r.removed) for r in got] == [outermost(t) for t in texts]
+    assert sum(r.removed for r in got) > 60

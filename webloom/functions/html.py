@@ -59,6 +59,57 @@ def map_items(text: Column, pattern: str, edit) -> Column:
     return let(text, edited)
 
 
+def outer_spans(item_array: Column, name: str) -> Column:
+    """Outermost elements ``name`` among items: array of (a, b), the places of their first and last item.
+
+    A fold with the depth as its state, so an element ends at its own end tag however deep others of its
+    name are nested in it.  An end tag without a start tag is passed over; an element that is never closed ends
+    behind the last item (b is the number of items).
+    """
+    opens, closes = rf"(?i)^<{name}[\s/>]", rf"(?i)^</{name}[\s/>]"
+    kind = "struct<at:int,depth:int,first:int,spans:array<struct<a:int,b:int>>>"
+
+    def step(state: Column, item: Column) -> Column:
+        at, depth, first, spans = (state[x] for x in ("at", "depth", "first", "spans"))
+        start, end = item.rlike(opens), item.rlike(closes) & (depth > 0)
+        span = F.array(F.struct(first.alias("a"), at.alias("b")))
+        return F.struct(
+            (at + 1).alias("at"),
+            (depth + F.when(start, 1).when(end, -1).otherwise(0)).alias("depth"),
+            F.when(start & (depth == 0), at).otherwise(first).alias("first"),
+            F.when(end & (depth == 1), F.concat(spans, span)).otherwise(spans).alias("spans"),
+        ).cast(kind)
+
+    def done(state: Column) -> Column:
+        span = F.array(F.struct(state["first"].alias("a"), state["at"].alias("b")))
+        return F.when(state["depth"] > 0, F.concat(state["spans"], span)).otherwise(state["spans"])
+
+    empty = F.struct(F.lit(0), F.lit(0), F.lit(0), F.array().cast("array<struct<a:int,b:int>>")).cast(kind)
+    return F.aggregate(item_array, empty, step, done)
+
+
+def span_text(gap_array: Column, item_array: Column, span: Column) -> Column:
+    """The text of a span, from its first item to its last one or, if it is not closed, to the end."""
+
+    def piece(k: Column) -> Column:
+        item = F.coalesce(F.get(item_array, k), F.lit(""))
+        return F.when(k == span["a"], item).otherwise(F.concat(F.get(gap_array, k), item))
+
+    return F.array_join(F.transform(F.sequence(span["a"], span["b"]), piece), "")
+
+
+def without_spans(gap_array: Column, item_array: Column, spans: Column) -> Column:
+    """The text that gaps and items make, but for the spans."""
+
+    def piece(gap: Column, k: Column) -> Column:
+        item = F.coalesce(F.get(item_array, k), F.lit(""))
+        inside = F.exists(spans, lambda s: (s["a"] < k) & (k <= s["b"]))
+        first = F.exists(spans, lambda s: s["a"] == k)
+        return F.when(inside, "").when(first, gap).otherwise(F.concat(gap, item))
+
+    return F.array_join(F.transform(gap_array, piece), "")
+
+
 def tag_name(item: Column) -> Column:
     return F.lower(F.regexp_extract(item, r"^<([A-Za-z][^\s/>]*)", 1))
 

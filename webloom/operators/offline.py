@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -86,7 +86,8 @@ _TEMPERED_LINK = (
 )
 _PATTERNS = {
     ("link", "script"): H.ITEM,
-    ("noscript",): f"(?is){_NO_MARKUP}|{H.element_pattern('noscript')}",
+    # Its tags only: which of them belong together is told by their order.
+    ("noscript",): rf"(?is){_NO_MARKUP}|{H.START_TAG.replace('<[A-Za-z][^\\s/>]*+', '<noscript(?=[\\s/>])', 1)}|</noscript(?:[\s/][^>]*)?>",
     ("a",): f"(?is){_NO_MARKUP}|{_TEMPERED_LINK}",
 }
 
@@ -146,6 +147,9 @@ def remove_elements(
     pages = pin(pages, **{out: F.col("html"), "removed": F.lit(0)})
     for tags, pattern, own in _passes(rules):
         text = F.col(out)
+        if tags == ("noscript",):
+            pages = _without_nested(pages, out, pattern, tags, own)
+            continue
         pages = pin(
             pages,
             _kept=F.transform(
@@ -165,6 +169,34 @@ def remove_elements(
     return pages
 
 
+def _without_nested(
+    pages: DataFrame, out: str, pattern: str, tags: Sequence[str], rules: Sequence[RemovalRule]
+) -> DataFrame:
+    """Drop matching elements that may hold others of their name: the outermost one counts, once."""
+    text = F.col(out)
+    cut = pin(
+        pages,
+        _items=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        _gaps=F.split(text, pattern, -1),
+    )
+    spans = pin(cut, _spans=H.outer_spans(F.col("_items"), tags[0]))
+    gone = pin(
+        spans,
+        _gone=F.filter(
+            "_spans",
+            lambda s: is_removable(H.span_text(F.col("_gaps"), F.col("_items"), s), tags, rules),
+        ),
+    )
+    rest = H.without_spans(F.col("_gaps"), F.col("_items"), F.col("_gone"))
+    return pin(
+        gone,
+        **{
+            out: F.when(F.size("_gone") > 0, rest).otherwise(text),
+            "removed": F.col("removed") + F.size("_gone"),
+        },
+    ).drop("_items", "_gaps", "_spans", "_gone")
+
+
 def add_fallback_style(text: Column) -> Column:
     """Put the style before the first end of a head, once.
 
@@ -202,10 +234,15 @@ def removal_candidates(pages: DataFrame, keys: Sequence[str] = ("page_id",)) ->
     """The elements the rules would remove, as rows with the number of the first rule that fits."""
     parts = []
     for tags, pattern in _PATTERNS.items():
-        found = pages.select(
-            *keys,
-            F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("pos", "element"),
-        ).where(H.tag_name(F.col("element")).isin(*tags))
+        elements = F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+        if tags == ("noscript",):
+            gaps = F.split("html", pattern, -1)
+            elements = F.transform(
+                H.outer_spans(elements, tags[0]), partial(H.span_text, gaps, elements)
+            )
+        found = pages.select(*keys, F.posexplode(elements).alias("pos", "element")).where(
+            H.tag_name(F.col("element")).isin(*tags)
+        )
         numbered = [(n, r) for n, r in enumerate(REMOVAL_RULES, 1) if r.tag in tags]
         first = F.least(
             *[

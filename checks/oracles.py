@@ -6,7 +6,7 @@ lists instead of array functions, recursive queries instead of rounds, and ranks
 
 from __future__ import annotations
 
-from checks.site_fixture import NESTED, PAGES, SHEETS
+from checks.site_fixture import NESTED, PAGES, RULES, SHEETS
 
 # --- literals and expressions ---------------------------------------------------------------
 
@@ -708,6 +708,11 @@ RAW_FINALS["cached_urls"], RAW_FINALS["missing_urls"] = (
 RAW_FINALS["mirrored_totals"] = RAW_FINALS["site_totals"]
 
 ORACLES: dict[str, str] = {name: sql(final) for name, final in RAW_FINALS.items()}
+ORACLES["rule_table_rejects"] = with_parts(f"""WITH rule_table AS MATERIALIZED ({RULES.replace('{each}', 'unnest(range(0, 48))')}),
+    linked AS MATERIALIZED (SELECT DISTINCT target_domain, dst_url AS url FROM edges),
+    hits AS (SELECT target_domain, url, min(rule) AS rule FROM linked JOIN rule_table USING (target_domain)
+      WHERE CASE kind WHEN 'pattern' THEN regexp_matches(url, text) ELSE contains({host('url')}, text) END GROUP BY ALL)
+    SELECT target_domain, url, coalesce(rule, -1) AS rule FROM linked LEFT JOIN hits USING (target_domain, url)""")
 # Outermost elements by walking the tags of a page one after the other, the depth carried along.
 NOSCRIPT_TAG = rf"(?is){MASKED}|<noscript[^>]*>|</noscript\s*>"
 ORACLES["nested_removal"] = f"""WITH RECURSIVE nested AS MATERIALIZED ({NESTED}),

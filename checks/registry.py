@@ -10,7 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from checks.site_fixture import NESTED, PAGES, built, derived, raw_pages, site_pages, site_sheets
+from checks.site_fixture import (
+    NESTED,
+    PAGES,
+    built,
+    derived,
+    raw_pages,
+    site_pages,
+    site_rules,
+    site_sheets,
+)
 from webloom.functions import html as H
 from webloom.functions import urls as U
 from webloom.functions.binding import pin
@@ -22,6 +31,7 @@ from webloom.operators import (
     relink,
     report,
     rewrite,
+    rule_index,
     rules,
     stylesheets,
     tokens,
@@ -598,6 +608,13 @@ def missing_urls(spark, sf_dir):
     return crawl.missing_urls(_linked_urls(spark, sf_dir), stored_files(spark, sf_dir))
 
 
+@query
+def rule_table_rejects(spark, sf_dir):
+    """The first of thousands of rules of its site that each linked URL falls under; -1 if none."""
+    found = rule_index.first_rule(_linked_urls(spark, sf_dir), site_rules(spark, sf_dir))
+    return found.withColumn("rule", F.coalesce("rule", F.lit(-1)))
+
+
 def _linked_urls(spark, sf_dir):
     return site_edges(spark, sf_dir).select("target_domain", F.col("dst_url").alias("url")).distinct()
 

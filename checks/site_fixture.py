@@ -88,6 +88,18 @@ FROM pages
 """.replace("{{", "{").replace("}}", "}")
 
 
+# Rules of the sites, 48 for each page: texts in the host and expressions over the URL.
+RULES = f"""
+SELECT target_domain, CAST(page_id * 48 + r AS INT) AS rule,
+  CASE WHEN r % 4 = 1 THEN 'pattern' ELSE 'host' END AS kind,
+  CASE WHEN r % 12 = 1 THEN concat('/p', page_id, '[.]html$')
+       WHEN r % 12 = 5 THEN concat('/p', page_id + r, '[?]page=[0-9]+&ref')
+       WHEN r % 12 = 9 THEN concat('/(p', page_id, '|q', r, ')/a/')
+       ELSE concat('x', page_id, '-', r, '.example') END AS text
+FROM (SELECT page_id, {site('page_id')} AS target_domain, {{each}} AS r FROM pages) numbered
+"""
+
+
 # Pages with nested elements: page n opens n % 4 and n % 3 of them and closes more, as many or fewer.
 NESTED = """
 SELECT page_id, concat('<p>', page_id, '</p>', repeat('<noscript>', CAST(page_id % 4 AS INT)), '<i>x</i>',
@@ -122,6 +134,10 @@ def built(site: DataFrame) -> DataFrame:
     return pin(site, **{c: site[c] for c in site.columns})
 
 
+def site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_pages(spark, sf_dir, RULES.replace("{each}", "explode(sequence(0, 47))"))
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_pages(spark, sf_dir, PAGES)
 

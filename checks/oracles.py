@@ -6,7 +6,7 @@ lists instead of array functions, recursive queries instead of rounds, and ranks
 
 from __future__ import annotations
 
-from checks.site_fixture import NESTED, PAGES, RULES, SHEETS
+from checks.site_fixture import NESTED, NUMBERED, PAGES, RULES, SHEETS
 
 # --- literals and expressions ---------------------------------------------------------------
 
@@ -713,6 +713,8 @@ ORACLES["rule_table_rejects"] = with_parts(f"""WITH rule_table AS MATERIALIZED (
     hits AS (SELECT target_domain, url, min(rule) AS rule FROM linked JOIN rule_table USING (target_domain)
       WHERE CASE kind WHEN 'pattern' THEN regexp_matches(url, text) ELSE contains({host('url')}, text) END GROUP BY ALL)
     SELECT target_domain, url, coalesce(rule, -1) AS rule FROM linked LEFT JOIN hits USING (target_domain, url)""")
+ORACLES["wide_range_rejects"] = f"""SELECT page_id, url, CASE WHEN f BETWEEN 1 AND 1000000 AND f NOT IN (48271, 77) AND p <= 999 THEN 7
+    WHEN f BETWEEN 1100000 AND 1500000 AND p BETWEEN 990 AND 1500 AND p % 2 = 0 THEN 9 ELSE -1 END AS rule FROM ({NUMBERED})"""
 # Outermost elements by walking the tags of a page one after the other, the depth carried along.
 NOSCRIPT_TAG = rf"(?is){MASKED}|<noscript[^>]*>|</noscript\s*>"
 ORACLES["nested_removal"] = f"""WITH RECURSIVE nested AS MATERIALIZED ({NESTED}),

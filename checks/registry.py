@@ -15,10 +15,12 @@ from checks.site_fixture import (
     PAGES,
     built,
     derived,
+    numbered_links,
     raw_pages,
     site_pages,
     site_rules,
     site_sheets,
+    wide_rules,
 )
 from webloom.functions import html as H
 from webloom.functions import urls as U
@@ -28,6 +30,7 @@ from webloom.operators import (
     links,
     media,
     offline,
+    ranges,
     relink,
     report,
     rewrite,
@@ -615,6 +618,14 @@ def rule_table_rejects(spark, sf_dir):
     return found.withColumn("rule", F.coalesce("rule", F.lit(-1)))
 
 
+@query
+def wide_range_rejects(spark, sf_dir):
+    """Ranges of a million and a thousand values in one rule: each is one expression."""
+    links_, wide = numbered_links(spark, sf_dir), ranges.compacted(wide_rules(spark, sf_dir))
+    found = rule_index.first_rule(links_, wide).withColumn("rule", F.coalesce("rule", F.lit(-1)))
+    return links_.join(found, ["target_domain", "url"]).select("page_id", "url", "rule")
+
+
 def _linked_urls(spark, sf_dir):
     return site_edges(spark, sf_dir).select("target_domain", F.col("dst_url").alias("url")).distinct()
 

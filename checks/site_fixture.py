@@ -100,6 +100,18 @@ FROM (SELECT page_id, {site('page_id')} AS target_domain, {{each}} AS r FROM pag
 """
 
 
+# A link of each page with two numbers, and rules whose ranges have a million and a thousand values.
+NUMBERED = f"""
+SELECT page_id, target_domain, f, p, concat('https://', target_domain, '/v?f=', f, '&p=', p, '&x') AS url
+FROM (SELECT page_id, {site('page_id')} AS target_domain, page_id * 48271 % 2000003 AS f, page_id * 7 % 1501 AS p
+      FROM pages) numbered
+"""
+WIDE_RULES = """SELECT DISTINCT target_domain, 7 AS rule, 'pattern' AS kind, 'f={1..1000000%48271,77}&p={0..999}&' AS text
+FROM ({numbered}) links UNION ALL
+SELECT DISTINCT target_domain, 9, 'pattern', 'f={1500000..1100000..-1}&p={990..1500..2}&' FROM ({numbered}) links
+""".replace("{numbered}", NUMBERED)
+
+
 # Pages with nested elements: page n opens n % 4 and n % 3 of them and closes more, as many or fewer.
 NESTED = """
 SELECT page_id, concat('<p>', page_id, '</p>', repeat('<noscript>', CAST(page_id % 4 AS INT)), '<i>x</i>',
@@ -138,6 +150,14 @@ def site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_pages(spark, sf_dir, RULES.replace("{each}", "explode(sequence(0, 47))"))
 
 
+def numbered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_pages(spark, sf_dir, NUMBERED)
+
+
+def wide_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_pages(spark, sf_dir, WIDE_RULES)
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_pages(spark, sf_dir, PAGES)
 

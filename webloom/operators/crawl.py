@@ -14,7 +14,7 @@ from webloom.functions import urls as U
 from webloom.functions.binding import pin
 from webloom.operators.joins import running_total, tiles
 from webloom.operators.links import css_edges, html_edges
-from webloom.session import cut_lineage, shuffle_width, stored
+from webloom.session import cut_lineage, let_workers_import, shuffle_width, stored
 
 NODE = ["target_domain", "url"]
 #: Bits of a URL's number that are its place in its partition, as ``monotonically_increasing_id`` gives them.
@@ -97,6 +97,7 @@ def unseen(found: DataFrame, state: DataFrame | None) -> DataFrame:
 
     ``found`` has each number once; ``state`` is the result of the round before.
     """
+    let_workers_import(found.sparkSession)
     fresh = found.select(F.shiftright("node", PLACE_BITS).alias("part"), "node")
     empty = found.sparkSession.createDataFrame([], STATE)
     seen = (empty if state is None else state).where("bits is not null").select("part", "bits")

@@ -16,7 +16,7 @@ from itertools import product
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from webloom.sources.folders import let_workers_import
+from webloom.session import let_workers_import
 
 _BLOCK = re.compile(r"\{([^{}]+)\}")
 _INTEGER = re.compile(r"\s*[+-]?[0-9]+(?:_[0-9]+)*\s*")

@@ -19,8 +19,7 @@ from re import _constants as kinds
 from re import _parser as parser
 
 from webloom.functions import urls as U
-from webloom.session import stored
-from webloom.sources.folders import let_workers_import
+from webloom.session import let_workers_import, stored
 
 #: URLs that one task looks up at once.
 PART = 200_000

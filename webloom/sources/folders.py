@@ -10,14 +10,12 @@ Stores are reached through Arrow's file systems (local, HDFS, S3, GCS, Azure).
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import translate
 from itertools import product
-from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-import webloom
-from webloom.session import cut_lineage, shuffle_width
+from webloom.session import cut_lineage, let_workers_import, shuffle_width
 
 #: Folders that the driver looks into at most before tasks go on.
 ENOUGH = 64
@@ -126,15 +123,6 @@ class FolderSource(DataSource):
         return FolderReader(dict(self.options))
 
 
-def let_workers_import(spark: SparkSession) -> None:
-    """Python workers that this session starts find the package where the driver has it."""
-    environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    root = str(Path(webloom.__file__).resolve().parent.parent)
-    if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
 def listed(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, length) of all files below a folder whose names fit; paths are relative to it."""
     let_workers_import(spark)
@@ -144,6 +132,7 @@ def listed(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 def contents(spark: SparkSession, folder: str, files: DataFrame, column: str) -> DataFrame:
     """(path, <column>) of the listed files as texts; invalid bytes are dropped, files that cannot be read are left out."""
+    let_workers_import(spark)
     uri = qualified(spark, folder)
     files = cut_lineage(files.select("path", "length"))
     size = files.agg(F.sum("length")).first()[0] or 0

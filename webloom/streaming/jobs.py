@@ -13,8 +13,7 @@ from webloom.functions import urls as U
 from webloom.functions.binding import pin
 from webloom.operators.links import internal_links
 from webloom.operators.validate import check_pages, issue_rows
-from webloom.session import stored, with_settings
-from webloom.sources.folders import let_workers_import
+from webloom.session import let_workers_import, stored, with_settings
 
 
 URL = ["target_domain", "url"]

@@ -19,6 +19,7 @@ MEDIA_TAGS = {
 # Fixed value: remote url() reference of a stylesheet.
 CSS_REMOTE_URL = r"""url\(\s*["']?(https?://[^"'\\)]+)["']?\s*\)"""
 
+# Extensions that count as media.
 MEDIA_EXTENSIONS = (
     ".png", ".jpg", ".jpeg", ".gif", ".webp",
     ".mp4", ".webm", ".avi", ".mkv", ".mov",

@@ -16,6 +16,20 @@ from webloom.operators.rewrite import RewriteStep, css_error, run_steps
 from webloom.session import cut_lineage
 
 MAX_IMPORT_DEPTH = 10
+# The comments that stand for imports, each around the name of the imported sheet.
+EXTERNAL_IMPORT = ('/* External @import "', '" stripped for offline use */')
+MISSING_IMPORT = ('/* @import "', '" - FILE NOT FOUND */\n')
+CIRCULAR_IMPORT = ('/* @import "', '" - CIRCULAR REFERENCE SKIPPED */\n')
+DEEP_IMPORT = ('/* @import "', '" - MAX DEPTH REACHED */\n')
+INLINED_IMPORT = ("/* INLINED: ", " */\n")
+# The names of the steps.
+STEP_NAMES = (
+    "Inline CSS @import statements",
+    "Strip Google Fonts @import markers",
+    "Rewrite external CSS URLs to local",
+    "Strip external url() references",
+    "Convert absolute local paths to relative",
+)
 
 # Patterns and texts of the rewritten stylesheet.
 GOOGLE_FONTS_MARKER = (
@@ -31,8 +45,8 @@ MAPPED_URL = r"""url\(\s*(["']?)(https?://[^\s"'?#>\)\\]+)(\?[^\s"'#>\)]+)?["']?
 SHEET = ["target_domain", "path"]
 
 
-def _comment(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+def _comment(around: tuple[str, str], name: Column) -> Column:
+    return F.concat(F.lit(around[0]), name, F.lit(around[1]))
 
 
 def _imports(css: Column) -> Column:
@@ -97,16 +111,16 @@ def inline_imports(sheets: DataFrame) -> DataFrame:
     outcome = (
         F.when(
             raw.rlike("^https?://"),
-            _comment('/* External @import "', raw, '" stripped for offline use */'),
+            _comment(EXTERNAL_IMPORT, raw),
         )
-        .when(F.col("imports").isNull(), _comment('/* @import "', raw, '" - FILE NOT FOUND */\n'))
+        .when(F.col("imports").isNull(), _comment(MISSING_IMPORT, raw))
         .when(
             F.array_contains("stack", raw),
-            _comment('/* @import "', raw, '" - CIRCULAR REFERENCE SKIPPED */\n'),
+            _comment(CIRCULAR_IMPORT, raw),
         )
         .when(
             F.size("stack") >= MAX_IMPORT_DEPTH,
-            _comment('/* @import "', raw, '" - MAX DEPTH REACHED */\n'),
+            _comment(DEEP_IMPORT, raw),
         )
     )
 
@@ -132,7 +146,7 @@ def inline_imports(sheets: DataFrame) -> DataFrame:
     heading = F.concat("order_key", F.array(F.lit(-1))).alias("order_key")
     texts.append(
         places.select(
-            *SHEET, heading, _comment("/* INLINED: ", raw, " */\n").alias("text"), F.lit(1).alias("n")
+            *SHEET, heading, _comment(INLINED_IMPORT, raw).alias("text"), F.lit(1).alias("n")
         )
     )
     bodies = sheets.select("target_domain", F.col("path").alias("_target"), "css").join(
@@ -232,8 +246,8 @@ def rewrite_stylesheets(sheets: DataFrame, url_map: DataFrame) -> DataFrame:
         inlined,
         "css",
         [
-            RewriteStep("Inline CSS @import statements", lambda _: F.col("inlined")),
-            RewriteStep("Strip Google Fonts @import markers", strip_google_fonts),
+            RewriteStep(STEP_NAMES[0], lambda _: F.col("inlined")),
+            RewriteStep(STEP_NAMES[1], strip_google_fonts),
         ],
         css_error,
         out="_text",
@@ -243,10 +257,10 @@ def rewrite_stylesheets(sheets: DataFrame, url_map: DataFrame) -> DataFrame:
         localized,
         "_text",
         [
-            RewriteStep("Rewrite external CSS URLs to local", lambda _: F.col("_localized")),
-            RewriteStep("Strip external url() references", neutralize_remote),
+            RewriteStep(STEP_NAMES[2], lambda _: F.col("_localized")),
+            RewriteStep(STEP_NAMES[3], neutralize_remote),
             RewriteStep(
-                "Convert absolute local paths to relative",
+                STEP_NAMES[4],
                 lambda css: absolute_to_relative(css, U.up_prefix(F.col("path"))),
             ),
         ],

@@ -1009,9 +1009,12 @@ def early_exit_stylesheets(spark, sf_dir):
 
 
 def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived site pages arriving as a stream, one a minute."""
+    """The derived site pages arriving as a stream, one a minute; the table is one file or a folder of files.
+
+    A stream takes the path of a file for that of a folder, but not if it is a pattern.
+    """
     schema = raw_pages(spark, sf_dir).schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/pages.parque[t]")
     return built(derived(spark, arriving, PAGES)).withColumn("ts", _arrival(None))
 
 

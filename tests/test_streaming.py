@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from checks.registry import QUERIES
 from webloom.streaming import jobs
 
 SCHEMA = "page_id bigint, url string, target_domain string, ts timestamp, html string"
@@ -76,3 +78,17 @@ def test_issue_counts_equal_batch(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(source)
     jobs.start_counts(jobs.issue_counts(stream), out, state).awaitTermination()
     assert set(map(tuple, jobs.current_counts(spark, out).collect())) == set(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize("name", ["stream_issue_counts", "stream_page_verdicts", "stream_missing_urls"])
+def test_queries_over_a_file_and_over_a_folder_of_files(spark, tmp_path, name):
+    body = "<html><head></head><body>{}<a href='/x'>x</a></body></html>"
+    rows = [(n, f"https://d.org/{n}", body.format(n) if n % 3 else f"<p>{n}") for n in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "many" / "pages.parquet"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "one").mkdir()
+    (found,) = (tmp_path / "made").glob("*.parquet")
+    (tmp_path / "one" / "pages.parquet").write_bytes(found.read_bytes())
+    many, one = (sorted(map(tuple, QUERIES[name](spark, str(tmp_path / d)).collect()), key=str) for d in ("many", "one"))
+    assert many == one != []

@@ -116,3 +116,16 @@ def test_fingerprint_of_short_and_plain_texts():
     # Ties: every k-mer of equal letters is an anchor with the same hash.
     at, h = S.placed("a" * 100)
     assert len(at) == 81 and len(S.distinct(h)) == 1 and S.matched(*[S.written(at, h)] * 2) in ([], [(0, 0)])
+
+
+def test_fingerprints_hold_every_anchor(make_docs):
+    """All hashes and positions can be read from them, and so can how alike two texts are."""
+    texts = {k: prose(k, n) for k, n in enumerate((3, 40, 900, 6000))}
+    rows = {r.doc_id: r for r in S.fingerprints(make_docs(list(texts.items()))).collect()}
+    prints = {k: S.parsed(r.fingerprint) for k, r in rows.items()}
+    for k, text in texts.items():
+        following = (k - 1) % len(texts)
+        for found, want in ((prints[k], S.placed(text)), (S.parsed(rows[k].edited_fingerprint), S.placed(S.edited(text, texts[following])))):
+            assert np.array_equal(found[0], want[1]) and np.array_equal(found[1], want[0])
+        assert rows[k].near_next == S.likeness(S.distinct(prints[k][0]), S.distinct(prints[following][0]))
+        assert rows[k].near_edited == S.likeness(S.distinct(prints[k][0]), S.distinct(S.parsed(rows[k].edited_fingerprint)[0]))

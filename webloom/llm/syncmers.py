@@ -4,20 +4,21 @@ A k-mer of code points is a closed syncmer if the smallest of its inner s-mers (
 or its last one.  Whether a k-mer is chosen depends on the k-mer alone, so a passage gives the same
 anchors wherever it stands and whatever stands around it.  ``anchors`` returns them with positions.
 
-How alike two texts are is told from all different anchors of both.  A fingerprint is the part of a text's
-anchors whose hash lies below a fixed threshold, each with its position: it grows with the text, an anchor
-is in the fingerprints of all texts that have it or of none, and ``matched`` pairs two of them by position.
+A fingerprint holds every anchor of a text, its whole hash and its position, so it grows with the text.  How
+alike two texts are is told from all different anchors of both, which their fingerprints hold, and ``matched``
+pairs two of them by position.
 
 Nulls: a null text is an empty text; its fingerprint is the empty string.  Two texts without anchors
 are alike (1), one without and another are not (0).  A text that has no closed syncmer (a short one)
-has one anchor, the hash of the whole, at position 0.  A text with no anchor below the threshold keeps its smallest one.  A null doc_id comes after all others in descending order; rows
-with the same doc_id stand in the order of their texts.  A single row is its own next document.
+has one anchor, the hash of the whole, at position 0.  A null doc_id comes after all others in descending
+order; rows with the same doc_id stand in the order of their texts.  A single row is its own next document.
 Repeated rows all stay.  Other input columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from base64 import b64decode, b64encode
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -31,8 +32,10 @@ from webloom.llm.common import arrow_map
 
 K = 20
 S = 10
-#: A fingerprint keeps the anchors whose hash is below 2 ** 64 / ONE_IN.
-ONE_IN = 16
+#: One anchor in so many stands in a fingerprint: each one.
+ONE_IN = 1
+#: An anchor of a fingerprint: 12 bytes, 16 signs in base 64.
+ANCHOR = np.dtype([("hash", ">u8"), ("position", ">u4")])
 #: Characters of fingerprints that a task gathers before it hands them on.
 HELD = 8 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -96,21 +99,16 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
 
 
 def written(at: np.ndarray, h: np.ndarray) -> str:
-    """Fingerprint of placed anchors: 8 hexadecimal digits of the hash and 8 of the position for each kept one."""
-    if not len(h):
-        return ""
-    kept = h < np.uint64((1 << 64) // ONE_IN)
-    if not kept.any():
-        kept = np.arange(len(h)) == h.argmin()
-    # The digits that tell kept hashes apart: those below the threshold.
-    low = (h[kept] >> np.uint64(24)).astype(np.uint32)
-    return np.stack((low, at[kept].astype(np.uint32)), 1).astype(">u4").tobytes().hex()
+    """Fingerprint of placed anchors: the hash and the position of each, in base 64."""
+    held = np.empty(len(h), ANCHOR)
+    held["hash"], held["position"] = h, at
+    return b64encode(held.tobytes()).decode()
 
 
 def parsed(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of a fingerprint, in order of position."""
-    pairs = np.frombuffer(bytes.fromhex(fingerprint), ">u4").reshape(-1, 2)
-    return pairs[:, 0].astype(np.uint32), pairs[:, 1].astype(np.int64)
+    held = np.frombuffer(b64decode(fingerprint), ANCHOR)
+    return held["hash"].astype(np.uint64), held["position"].astype(np.int64)
 
 
 def matched(a: str, b: str) -> list[tuple[int, int]]:

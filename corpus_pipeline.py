@@ -19,7 +19,9 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near duplicates.
 
-    Near duplicates have 5-word shingles with a Jaccard similarity of 0.8 or more.  Of several rows with that id one stays, and of a group without any id one row.
+    Near duplicates have 5-word shingles with a Jaccard similarity of 0.8 or more.  Links of SimHash fingerprints
+    come first and are checked exactly; an exact search finds those that the fingerprints do not link.  Of several
+    rows with that id one stays, and of a group without any id one row.
     """
     return copies.representatives(docs)
 

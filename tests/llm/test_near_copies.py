@@ -3,10 +3,12 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import prose
 from webloom.llm import near_copies as C
+from webloom.llm import simhash
 
 
 def plain_shingles(text):
@@ -127,3 +129,36 @@ def test_shingles_do_not_depend_on_pieces(monkeypatch, piece):
             changed_size.setattr(C, "PIECE", piece)
             assert np.array_equal(C.shingles(text.replace("B", "b")), whole)
     assert len(C.shingles("x" * 3_000_000)) == 1 and len(C.shingles(None)) == 0
+
+
+def test_fingerprints_link_first_and_are_checked(make_docs, spark, monkeypatch):
+    """Texts whose SimHash fingerprints are near are compared first; what these do not link is left to the search."""
+    rng = random.Random(2)
+    base, other = prose(1, 2000).split(), prose(2, 100).split()
+    pairs = [(1, " ".join(base)), (2, changed(base, 1, rng)), (3, " ".join(other)), (4, changed(other, 2, rng)), (5, prose(3, 90))]
+    far = [(simhash.fingerprint(pairs[k][1], 5) ^ simhash.fingerprint(pairs[k + 1][1], 5)).bit_count() for k in (0, 2)]
+    assert far[0] <= simhash.DISTANCE < far[1]
+    tried, compared = {}, C._compared
+
+    def counted(pairs, texts, classes, name):
+        tried[name] = pairs.count()
+        return compared(pairs, texts, classes, name)
+
+    monkeypatch.setattr(C, "_compared", counted)
+    docs = make_docs(pairs)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 3, 5] == plain_kept(pairs)
+    assert tried == {"copies-first": 1, "copies-second": 1, "copies-third": 0}
+    # Near fingerprints alone link nothing.
+    nodes = lambda classes, limit: classes.select(F.col("node").alias("a")).crossJoin(classes.agg(F.min("node").alias("b"))).where("a <> b")
+    monkeypatch.setattr(C, "_fingerprinted", nodes)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 3, 5]
+    assert tried["copies-first"] == 4
+
+
+def test_only_texts_that_may_be_alike_are_held(make_docs, spark, monkeypatch):
+    """A common passage brings texts together that differ too much to be read again."""
+    passage = prose(99, 60)
+    held, real = [], C._held
+    monkeypatch.setattr(C, "_held", lambda texts, wanted: held.append(wanted.count()) or real(texts, wanted))
+    pairs = [(k, f"{prose(100 + k, 100)} {passage} {prose(300 + k, 90)}") for k in range(40)]
+    assert C.representatives(make_docs(pairs)).count() == 40 and sum(held) < 10

@@ -1,9 +1,13 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by SimHash and the exact Jaccard similarity of word shingles.
 
 Two texts are near copies if their sets of 5-word shingles have a similarity of at least 0.8.  Texts with the
 same set are one class before anything is compared.
 
-Candidates: sets of like size are cut into the same parts by hash (about 64 to 256 shingles each).  If two sets
+First come the classes whose SimHash fingerprints (``simhash``, over the same shingles) are linked: each is compared
+exactly with the first class that its links reach.  Fingerprints of texts at the border differ in about ten
+bits, so what they have not connected goes on to an exact search.
+
+Candidates of the search: sets of like size are cut into the same parts by hash (about 64 to 256 shingles each).  If two sets
 are alike, they are as alike in some part, so it is enough that alike parts meet.  All shingles have one global
 order, and a part of n shingles is known by its first n - ceil(0.8 n) + 1: two parts that are as alike share one of
 these (prefix filter).  Parts that share one are tested by sizes, places in the order and a bitmap of parities:
@@ -14,8 +18,8 @@ Shingles that are common in a sample of the texts come last in the order, so a c
 texts together.  The sample is bounded and any order gives the same pairs.
 
 A group of n near copies has n * n pairs, but only its connected parts count: each text is compared with one
-centre first (the text that shares most with others, as an unchanged original does), and then only pairs that are
-not yet connected.
+centre first (the text that shares most with others, as an unchanged original does) if they pass these tests, and
+then only pairs that are not yet connected.  Only texts in pairs that are compared are read again.
 
 Nulls: a null text has no shingles, and texts without any are near copies of each other.  A text of fewer
 than five words is one shingle.  Words are compared without regard to ASCII case, as in ``simhash``.
@@ -32,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm import simhash
 from webloom.llm.common import (
     NO_ID,
     arrow_map,
@@ -183,7 +188,7 @@ def common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _sets(texts: DataFrame, common: np.ndarray, count: np.ndarray) -> DataFrame:
-    """(id, t1, t2, k1, k2, n, parts) of every row of (id, t1, t2, text); k1 and k2 name the set of shingles."""
+    """(id, t1, t2, k1, k2, fp, parts) of every row of (id, t1, t2, text); k1 and k2 name the set of shingles."""
     shared = texts.sparkSession.sparkContext.broadcast((common, count))
     digest = xxhash.xxh64_intdigest
 
@@ -208,22 +213,22 @@ def _sets(texts: DataFrame, common: np.ndarray, count: np.ndarray) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                n, k1, k2, parts = [], [], [], []
+                fp, k1, k2, parts = [], [], [], []
                 for text in texts_of(part):
                     s = shingles(text)
                     whole = s.tobytes()
-                    n.append(len(s))
+                    fp.append(simhash.fingerprint(text, SIZE))
                     k1.append(digest(whole, 1) - (1 << 63))
                     k2.append(digest(whole, 2) - (1 << 63))
                     level = ranked(s, *shared.value)
                     parts.append([parts_of(s, level, k) for k in bands(len(s))])
                 kept = {c: part.column(c) for c in ("id", "t1", "t2")}
-                yield {**kept, "k1": k1, "k2": k2, "n": n, "parts": nested(parts)}
+                yield {**kept, "k1": k1, "k2": k2, "fp": np.array(fp, np.uint64).view(np.int64), "parts": nested(parts)}
 
     return arrow_map(
         texts,
         run,
-        "id bigint, t1 bigint, t2 int, k1 bigint, k2 bigint, n bigint, "
+        "id bigint, t1 bigint, t2 int, k1 bigint, k2 bigint, fp bigint, "
         "parts array<struct<size: int, bits: binary, keys: array<bigint>>>",
     )
 
@@ -256,8 +261,11 @@ def _held(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_map(found, cut, "node bigint, shingles binary")
 
 
-def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes that are alike."""
+def _compared(pairs: DataFrame, texts: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """Those of the stored pairs (a, b) of classes that are alike, stored."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = classes.join(nodes, "node").select("node", "s.t1", "s.t2")
+    held = stored(_held(texts, wanted), "copies-sets")
     left = held.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = held.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
@@ -270,7 +278,54 @@ def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
             if part.num_rows:
                 yield {"a": part.column("a"), "b": part.column("b")}
 
-    return arrow_map(both.select("a", "b", "left", "right"), run, "a bigint, b bigint")
+    return stored(arrow_map(both.select("a", "b", "left", "right"), run, "a bigint, b bigint"), name)
+
+
+def _fingerprinted(classes: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) of a class and the first one that links of SimHash fingerprints reach from it."""
+    found = classes.select("fp", F.col("node").alias("doc_id"))
+    near = simhash.classes_of(found, limit).select("fp", F.col("component_id").alias("b"))
+    return classes.select("fp", F.col("node").alias("a")).join(near, "fp").where("a <> b").select("a", "b")
+
+
+def _rooted(groups: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The rows of groups with the roots of their nodes; groups of one connected part have nothing left to compare."""
+    roots = components(links, name)
+    rooted = groups.join(roots, "node", "left").select(*groups.columns, F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return rooted.join(open_.where("low <> high").select("key"), "key")
+
+
+def _centred(groups: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class and the centre that it shares most keys with, if some part of both may be alike."""
+    # An original shares all of its keys, a copy has changed ones of its own.
+    weight = groups.groupBy("node").agg(F.sum("c").alias("weight"))
+    top = F.max(F.struct("weight", "node", "part", "size", "at", "root")).alias("top")
+    centres = groups.join(weight, "node").groupBy("key").agg(top)
+    most = F.least("at", "top.at") + F.least(F.col("size") - F.col("at"), F.col("top.size") - F.col("top.at"))
+    sizes = (F.col("size") + F.col("top.size")).alias("sizes")
+    votes = (
+        groups.join(centres, "key")
+        .where((F.col("root") != F.col("top.root")) & ((SHARE + OF) * most >= SHARE * (F.col("size") + F.col("top.size"))))
+        .select(F.col("node").alias("a"), F.col("part").alias("i"), F.col("top.node").alias("b"), F.col("top.part").alias("j"), sizes)
+        .groupBy("a", "i", "b", "j", "sizes")
+        .agg(F.count("*").alias("votes"))
+    )
+    star = votes.groupBy("a").agg(F.max(F.struct("votes", "b", "i", "j", "sizes")).alias("v")).select("a", "v.*")
+    left = maps.select(F.col("node").alias("a"), F.col("part").alias("i"), F.col("bits").alias("left"))
+    right = maps.select(F.col("node").alias("b"), F.col("part").alias("j"), F.col("bits").alias("right"))
+    both = star.join(left, ["a", "i"]).join(right, ["b", "j"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(texts_of(batch, n)), np.uint64).reshape(-1, BITS // 64) for n in ("left", "right"))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            good = (SHARE + OF) * apart <= (OF - SHARE) * batch.column("sizes").to_numpy().astype(np.int64)
+            part = batch.filter(pa.array(good))
+            if part.num_rows:
+                yield {"a": part.column("a"), "b": part.column("b")}
+
+    return arrow_map(both.select("a", "b", "sizes", "left", "right"), run, "a bigint, b bigint")
 
 
 def _pairs(groups: DataFrame, limit: int) -> DataFrame:
@@ -307,38 +362,21 @@ def _pairs(groups: DataFrame, limit: int) -> DataFrame:
 def links(texts: DataFrame, classes: DataFrame, limit: int = 4096) -> DataFrame:
     """Links (a, b) that connect the same classes as all pairs that are alike.
 
-    ``texts`` has (t1, t2, text), ``classes`` is stored and has (node, s, parts).
+    ``texts`` has (t1, t2, text), ``classes`` is stored and has (node, s, fp, parts).
     """
+    first = _compared(stored(_fingerprinted(classes, limit), "copies-printed"), texts, classes, "copies-first")
     part = classes.select("node", F.posexplode("parts").alias("part", "held"))
+    maps = part.select("node", "part", "held.bits")
     keyed = part.select("node", "part", "held.size", F.posexplode("held.keys").alias("at", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     groups = stored(keyed.join(shared, "key"), "copies-groups")
-    # An original shares all of its keys, a copy has changed ones of its own.
-    weight = groups.groupBy("node").agg(F.sum("c").alias("weight"))
-    centres = groups.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
-    votes = (
-        groups.join(centres, "key")
-        .where("node <> centre")
-        .groupBy("node", "centre")
-        .agg(F.count("*").alias("votes"))
-    )
-    star = votes.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("votes", "centre"))["centre"].alias("b"))
-    star = stored(star, "copies-star")
-    wanted = classes.join(groups.select("node").distinct(), "node").select("node", "s.t1", "s.t2")
-    held = stored(_held(texts, wanted), "copies-sets")
-    first = stored(_compared(star, held), "copies-first")
-    roots = components(first, "copies-links")
-    rooted = groups.join(roots, "node", "left").select(
-        "key", "node", "part", "size", "at", F.coalesce("root", "node").alias("root")
-    )
-    # Groups of one connected part have nothing left to compare.
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    rooted = rooted.join(open_.where("low <> high").select("key"), "key")
-    maps = part.select("node", "part", "held.bits")
-    rooted = stored(rooted.join(maps, ["node", "part"]), "copies-rooted")
+    star = stored(_centred(_rooted(groups, first, "copies-printed"), maps), "copies-star")
+    second = _compared(star, texts, classes, "copies-second")
+    found = first.union(second)
+    rooted = _rooted(groups, found, "copies-links").join(maps, ["node", "part"])
     tried = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = stored(_pairs(rooted, limit).join(tried, ["a", "b"], "left_anti"), "copies-rest")
-    return first.union(stored(_compared(rest, held), "copies-second"))
+    rest = _pairs(stored(rooted, "copies-rooted"), limit).join(tried, ["a", "b"], "left_anti")
+    return found.union(_compared(stored(rest, "copies-rest"), texts, classes, "copies-third"))
 
 
 def representatives(docs: DataFrame, limit: int = 4096) -> DataFrame:
@@ -357,9 +395,9 @@ def representatives(docs: DataFrame, limit: int = 4096) -> DataFrame:
     texts = keyed.select("id", "t1", "t2", F.col("row.text").alias("text"))
     sets = _sets(texts, *common_shingles(texts, docs.count()))
     classes = sets.groupBy("k1", "k2").agg(
-        F.min(F.struct("id", "t1", "t2")).alias("s"), F.first("parts").alias("parts")
+        F.min(F.struct("id", "t1", "t2")).alias("s"), F.first("parts").alias("parts"), F.min("fp").alias("fp")
     )
-    classes = classes.select(F.monotonically_increasing_id().alias("node"), "s", "parts")
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "s", "fp", "parts")
     classes = stored(classes, "copies-classes")
     roots = components(links(texts, classes, limit), "copies-components")
     chosen = (

@@ -76,3 +76,17 @@ def test_plan_does_not_grow_with_the_rules(spark):
 def test_no_rules(spark):
     left, right = table(spark, [("s", "https://a.org/1")], [])
     assert [tuple(r) for r in R.first_rule(left, right).collect()] == [("s", "https://a.org/1", None)]
+
+
+def test_no_task_holds_all_rules_of_a_site(spark, monkeypatch):
+    monkeypatch.setattr(R, "PART", 30)
+    monkeypatch.setattr(R, "SLICE", 50)
+    urls = [("s", f"https://h{k}.org/{k}/{k % 7}") for k in range(100)] + [("s", None), ("t", "https://a.org/1"), (None, "https://a.org/1")]
+    rules = [("s", k, "host", f"h{k % 60}.o") if k % 2 else ("s", k, "pattern", f"/{k % 90}/[0-6]$") for k in range(600, 0, -1)]
+    rules += [("t", 4, "pattern", "1$"), ("gone", 1, "host", "")]
+    left, right = table(spark, urls, rules)
+    named, given = R.dealt(left, right)
+    key = ["target_domain", "part", "slice"]
+    assert given.where("target_domain = 's'").count() == 600 * 4 and named.where("target_domain = 's'").count() == 101 * 12
+    assert given.groupBy(*key).count().agg({"count": "max"}).first()[0] < 100
+    assert sorted(map(tuple, R.first_rule(left, right).collect()), key=str) == sorted(plainly(urls, rules), key=str)

@@ -2,8 +2,9 @@
 
 The rules of a site become an Aho-Corasick automaton over what a match must hold: the needle of a host rule,
 and the longest required literal of a regular expression.  One pass over a URL gives the rules that can match,
-and only these expressions are tried.  The URLs of a site are dealt into parts of bounded size, and its rules go
-to each part, so a site may have any share of all URLs.
+and only these expressions are tried.  The URLs of a site are dealt into parts and its rules into slices of
+bounded size; each part meets each slice in a task of its own, so a site may have any share of all URLs and of
+all rules.  An expression is compiled when a URL first holds its literal.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterable
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from re import _constants as kinds
 from re import _parser as parser
@@ -21,8 +22,8 @@ from re import _parser as parser
 from webloom.functions import urls as U
 from webloom.session import let_workers_import, stored
 
-#: URLs that one task looks up at once.
-PART = 200_000
+#: URLs that one task looks up at once, and rules that it holds.
+PART, SLICE = 200_000, 100_000
 #: What a rule tests: a regular expression anywhere in the URL, or a text anywhere in its host.
 PATTERN, HOST = "pattern", "host"
 
@@ -54,13 +55,13 @@ class RuleIndex:
     """First rule of a site, by number, that a URL falls under."""
 
     def __init__(self, rules: Iterable[tuple[int, str, str]]):
-        self.patterns: dict[int, re.Pattern] = {}
+        self.patterns: dict[int, str | re.Pattern] = {}
         self.any_url: list[int] = []
         self.any_host: list[int] = []
         words: dict[str, dict[str, list[int]]] = {PATTERN: {}, HOST: {}}
         for number, kind, text in rules:
             if kind == PATTERN:
-                self.patterns[number] = re.compile(text)
+                self.patterns[number] = text
                 text = required_literal(text)
             if text:
                 words[kind].setdefault(text, []).append(number)
@@ -91,43 +92,63 @@ class RuleIndex:
         for number in sorted({*self.any_url, *self.numbers(self.in_url, url)}):
             if best is not None and number >= best:
                 break
-            if self.patterns[number].search(url):
+            if self.pattern(number).search(url):
                 return number
         return best
 
+    def pattern(self, number: int) -> re.Pattern:
+        found = self.patterns[number]
+        if isinstance(found, str):
+            found = self.patterns[number] = re.compile(found)
+        return found
 
-def first_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(target_domain, url, rule) of the different URLs: the first rule of their site that rejects them, or null.
 
-    ``rules``: target_domain, rule (int), kind (``pattern`` or ``host``), text.
-    """
-    let_workers_import(urls.sparkSession)
+def dealt(urls: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """URLs with their hosts and rules, both with (target_domain, part, slice) of the tasks that they go to."""
     named = stored(
         urls.select("target_domain", "url").distinct().withColumn("host", U.host(F.col("url"))), "rule-urls"
     )
+    own = rules.select("target_domain", "rule", "kind", "text")
     parts = named.groupBy("target_domain").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    slices = own.groupBy("target_domain").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     # Of a URL without a site there are no rules.
-    dealt = named.join(parts, "target_domain", "left").withColumn(
-        "part", F.pmod(F.xxhash64("url"), F.coalesce("parts", F.lit(1))).cast("int")
-    )
-    given = (
-        rules.select("target_domain", "rule", "kind", "text")
-        .join(parts, "target_domain")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    )
-    key = ["target_domain", "part"]
+    counts = parts.join(slices, "target_domain", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+
+    def one(name: str, of: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.coalesce(of, F.lit(1))).cast("int")
+
+    def each(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(of, F.lit(1)) - 1))
+
+    left = named.join(counts, "target_domain", "left").withColumns({"part": one("url", "parts"), "slice": each("slices")})
+    right = own.join(counts, "target_domain").withColumns({"slice": one("rule", "slices"), "part": each("parts")})
+    return left.drop("parts", "slices"), right.drop("parts", "slices")
+
+
+def first_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(target_domain, url, rule) of the different URLs: the first rule of their site that rejects them, or null.
+
+    ``rules``: target_domain, rule (int), kind (``pattern`` or ``host``), text.
+    """
+    let_workers_import(urls.sparkSession)
+    left, right = dealt(urls, rules)
+    key = ["target_domain", "part", "slice"]
 
     def look_up(found: pa.Table, own: pa.Table) -> pa.Table:
-        index = RuleIndex(zip(*(own[c].to_pylist() for c in ("rule", "kind", "text"))))
         names = found["url"].to_pylist()
-        firsts = [index.first(u, h) for u, h in zip(names, found["host"].to_pylist())]
-        return pa.table(
+        firsts = []
+        if names:
+            index = RuleIndex(zip(*(own[c].to_pylist() for c in ("rule", "kind", "text"))))
+            firsts = [index.first(u, h) for u, h in zip(names, found["host"].to_pylist())]
+        out = pa.table(
             {"target_domain": found["target_domain"], "url": found["url"], "rule": pa.array(firsts, pa.int32())}
         )
+        # Every URL has a row from the first slice; the others add what they reject.
+        return out if names and found["slice"][0].as_py() == 0 else out.filter(out["rule"].is_valid())
 
     schema = "target_domain string, url string, rule int"
-    sides = dealt.drop("parts").groupBy(*key).cogroup(given.drop("parts").groupBy(*key))
-    return sides.applyInArrow(look_up, schema)
+    tried = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(look_up, schema)
+    return tried.groupBy("target_domain", "url").agg(F.min("rule").alias("rule"))
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -84,3 +84,12 @@ def test_without_training_rows(make_docs, no_docs):
     row = M.scores(make_docs([(only, "two words")]), PATH).first()
     assert row.held_out and row.train_tokens == 0 and row.n_known == 0 and row.score < 0
     assert M.scores(no_docs, PATH).count() == 0
+
+
+def test_expected_counts_are_summed_once(lattice, monkeypatch):
+    """One array of all pieces for a table of words, not one for each arc."""
+    calls, real = [], np.bincount
+    monkeypatch.setattr(M.np, "bincount", lambda *a: calls.append(1) or real(*a))
+    (_, table), = M.by_length([b"nation", b"anatom"])
+    counts = lattice.expected(table, np.ones(2), np.full(len(lattice.pieces), -9.0))
+    assert len(calls) == 1 and counts.shape == (len(lattice.pieces),) and counts.sum() >= 2

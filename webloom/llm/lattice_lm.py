@@ -95,13 +95,14 @@ class Lattice:
         alpha = self.forward(table, logp, arcs)
         beta = np.full(alpha.shape, -np.inf)
         beta[:, -1] = 0
-        out = np.zeros(len(logp))
+        uses = [np.zeros(0)]
         for i, j, rows, piece in reversed(arcs):
             tail = logp[piece] + beta[rows, j]
-            share = np.exp(alpha[rows, i] + tail - alpha[rows, -1])
-            out += np.bincount(piece, share * counts[rows], len(out))
+            uses.append(np.exp(alpha[rows, i] + tail - alpha[rows, -1]) * counts[rows])
             beta[rows, i] = np.logaddexp(beta[rows, i], tail)
-        return out
+        # Summed up once: an array of all pieces for each arc would be most of the work.
+        used = [np.zeros(0, np.int64), *(piece for *_, piece in reversed(arcs))]
+        return np.bincount(np.concatenate(used), np.concatenate(uses), len(logp))
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -209,16 +210,18 @@ def scores(docs: DataFrame, vocabulary: str) -> DataFrame:
     below = total + distinct + 1  # N + 1 * (V + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = (right.column(n).to_pylist() for n in ("word", "c", "score"))
-        count = {w: (c, s) for w, c, s in zip(*columns)}
+        # What is known of a different word is worked out once, and looked up by its place for each occurrence.
+        place = {w: k for k, w in enumerate(right.column("word").to_pylist())}
+        c, lattice = (right.column(n).to_numpy() for n in ("c", "score"))
+        plain, seen = np.log10((c + 1) / below), c > 0
         end_base = float(np.log10((ends + 1) / below))
         rows = []
         for text in left.column("text"):
-            pairs = [count[w] for w in words_of(text.as_py())]
-            c, s = np.array(pairs, float).reshape(-1, 2).T
-            base = float(np.log10((c + 1) / below).sum()) + end_base
-            known = int((c > 0).sum()) + (ends > 0)
-            rows.append((len(pairs) + 1, known, total, base, float(s.sum()) + end))
+            words = words_of(text.as_py())
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            base = float(plain[at].sum()) + end_base
+            known = int(np.count_nonzero(seen[at])) + (ends > 0)
+            rows.append((len(words) + 1, known, total, base, float(lattice[at].sum()) + end))
         found = zip(*rows) if rows else [()] * 5
         kinds = [pa.int64()] * 3 + [pa.float64()] * 2
         arrays = [pa.array(x, kind) for x, kind in zip(found, kinds)]

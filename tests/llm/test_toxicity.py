@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -94,3 +95,16 @@ def test_a_pair_without_significant_margins_is_learned():
     print(score[both & ~train].mean(), score[alone & ~train].mean())
     assert score[both & ~train].mean() > 0.3
     assert score[alone & ~train].mean() < 0.05
+
+
+def test_fit_holds_the_terms_once():
+    """Terms of all rows have four bytes on the driver, besides what numpy needs for a sum over them."""
+    rng = np.random.default_rng(3)
+    lists = [np.unique(rng.integers(0, 3000, 200)).astype(np.int32) for _ in range(4000)]
+    labels = (np.arange(4000) % 3 == 0).astype(np.int64)
+    terms = sum(map(len, lists))
+    tracemalloc.start()
+    T.fitted(lists, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 38 * terms

@@ -23,6 +23,8 @@ from webloom.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id: later than every other id.
 NO_ID = 2**63 - 1
+#: Links that a task joins at a time.
+FOREST = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,26 +89,53 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(a, b - a)
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def _forests(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict]:
+    """Links (a, b) of one task, ``most`` at a time, as links to the smallest node that they connect."""
+    held, rows = [], 0
+
+    def joined():
+        pairs = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
+        nodes, at = np.unique(pairs, return_inverse=True)
+        at = at.reshape(-1, 2)
+        labels = joined_labels(np.arange(len(nodes)), at[:, 0], at[:, 1])
+        far = labels != np.arange(len(nodes))
+        return {"a": nodes[far], "b": nodes[labels[far]]}
+
+    for batch in batches:
+        held.append(np.stack([batch.column(c).to_numpy() for c in ("a", "b")], 1))
+        rows += batch.num_rows
+        if rows < most:
+            continue
+        found = joined()
+        rows = len(found["a"])
+        held = [np.stack((found["a"], found["b"]), 1)]
+        if 2 * rows > most:
+            yield found
+            held, rows = [], 0
+    if rows:
+        yield joined()
+
+
+def components(edges: DataFrame, name: str, most: int = FOREST) -> DataFrame:
     """Connected components of ``edges`` (a, b: bigint): (node, root), root the smallest node.
 
-    Large-star / small-star rounds: every step is a minimum per node (summed up before the shuffle)
-    and a join that adaptive execution can split, so a node with very many links is no bottleneck.
-    Nodes without links are not in the result.
+    Each task first joins what it reads, ``most`` links at a time: each node gets a link to the smallest one that
+    these links reach.  Large-star / small-star rounds follow until each node has one link, to a node that has none:
+    every step is a minimum per node (summed up before the shuffle) and a join that adaptive execution can split, so
+    a node with very many links is no bottleneck.  Nodes without links are not in the result.
     """
 
-    def measure(table: DataFrame):
-        return table.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
-        ).first()
+    def done(table: DataFrame) -> bool:
+        ends = table.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+        ends = ends.union(table.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+        return ends.where("out > 1 or out > 0 and into > 0").agg(F.count("*").alias("n")).first()["n"] == 0
 
     pairs = edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
-    now = stored(pairs, name)
-    before = measure(now)
-    while before["n"]:
+    now = stored(arrow_map(pairs, lambda batches: _forests(batches, most), "a bigint, b bigint"), name)
+    while not done(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (
@@ -117,10 +146,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), name)
-        after = measure(now)
-        if after == before:
-            break
-        before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -288,9 +288,8 @@ def _fingerprinted(classes: DataFrame, limit: int) -> DataFrame:
     return classes.select("fp", F.col("node").alias("a")).join(near, "fp").where("a <> b").select("a", "b")
 
 
-def _rooted(groups: DataFrame, links: DataFrame, name: str) -> DataFrame:
+def _rooted(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of groups with the roots of their nodes; groups of one connected part have nothing left to compare."""
-    roots = components(links, name)
     rooted = groups.join(roots, "node", "left").select(*groups.columns, F.coalesce("root", "node").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return rooted.join(open_.where("low <> high").select("key"), "key")
@@ -365,18 +364,20 @@ def links(texts: DataFrame, classes: DataFrame, limit: int = 4096) -> DataFrame:
     ``texts`` has (t1, t2, text), ``classes`` is stored and has (node, s, fp, parts).
     """
     first = _compared(stored(_fingerprinted(classes, limit), "copies-printed"), texts, classes, "copies-first")
+    roots = components(first, "copies-printed")
     part = classes.select("node", F.posexplode("parts").alias("part", "held"))
     maps = part.select("node", "part", "held.bits")
     keyed = part.select("node", "part", "held.size", F.posexplode("held.keys").alias("at", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     groups = stored(keyed.join(shared, "key"), "copies-groups")
-    star = stored(_centred(_rooted(groups, first, "copies-printed"), maps), "copies-star")
+    star = stored(_centred(_rooted(groups, roots), maps), "copies-star")
     second = _compared(star, texts, classes, "copies-second")
-    found = first.union(second)
-    rooted = _rooted(groups, found, "copies-links").join(maps, ["node", "part"])
+    # Roots are links that connect the same classes, at most one for each of them.
+    roots = components(roots.toDF("a", "b").union(second), "copies-links")
+    rooted = _rooted(groups, roots).join(maps, ["node", "part"])
     tried = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = _pairs(stored(rooted, "copies-rooted"), limit).join(tried, ["a", "b"], "left_anti")
-    return found.union(_compared(stored(rest, "copies-rest"), texts, classes, "copies-third"))
+    return roots.toDF("a", "b").union(_compared(stored(rest, "copies-rest"), texts, classes, "copies-third"))
 
 
 def representatives(docs: DataFrame, limit: int = 4096) -> DataFrame:

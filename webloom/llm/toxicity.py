@@ -94,7 +94,9 @@ def fitted(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
     )
     if positive == 0 or positive == n:
         return machine
-    rows, buckets = flat(lists)
+    # Four bytes each: the driver holds all of them.
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in lists])
+    buckets = np.concatenate([np.asarray(x, np.int32) for x in lists])
     total = np.bincount(buckets, minlength=BUCKETS)
     used = np.flatnonzero(total)
     place[used] = np.arange(len(used))
@@ -102,11 +104,12 @@ def fitted(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
     machine.weight = np.zeros(len(used))
     machine.factor = rng.normal(0, 0.05, (len(used), FACTORS))
     # The prior's part for one occurrence of a bucket: over an epoch each bucket has its prior once.
-    toxic = np.bincount(buckets, labels[rows].astype(float), BUCKETS)[used]
+    toxic = np.bincount(buckets, labels.astype(float)[rows], BUCKETS)[used]
     count, rate = total[used], positive / n
     sure = (count >= SURE_ROWS) & (np.abs(toxic - count * rate) > SURE_Z * np.sqrt(count * rate * (1 - rate)))
     prior = np.where(sure, SURE_L2, L2) / count
-    kept = [place[x] for x in lists]
+    kept = np.split(place.astype(np.int32)[buckets], np.cumsum([len(x) for x in lists[:-1]]))
+    del rows, buckets
     slot = np.zeros(len(used), np.int64)
     g_bias, g_weight = 1e-6, np.full(len(used), 1e-6)
     g_factor = np.full((len(used), FACTORS), 1e-4)
@@ -174,7 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
     column = rows["buckets"].combine_chunks()
     ends = np.cumsum(np.array(pc.list_value_length(column), np.int64))
     lists = np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
-    return fitted(lists, rows["toxic"].to_numpy().astype(np.int64))
+    toxic = rows["toxic"].to_numpy().astype(np.int64)
+    del rows
+    return fitted(lists, toxic)
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
